@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tickloom.llm import langid
+from tickloom.llm import decontam, langid, mixing, ngram_jaccard, sst
 from tickloom.llm.common import documents, materialize
 
 
@@ -13,8 +14,41 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.kept_languages(docs)
 
 
-STAGES = [("language ID", language_id)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id."""
+    return ngram_jaccard.one_of_each(docs)
 
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, to the nearest whole number; a repeat is a row more."""
+    taken = mixing.mix(docs).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    times = taken.withColumn("times", F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")).filter("times > 0")
+    times = materialize(times.select(F.col("doc_id").alias("id"), "times"))
+    rows = docs.join(times, F.col("doc_id").eqNullSafe(F.col("id")))
+    return rows.withColumn("n", F.explode(F.sequence(F.lit(1), "times"))).select(*docs.columns)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token shards in id order, and what they hold of each document."""
+    import public_tokenizers
+
+    return sst.token_output(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources", source_mix),
+    ("token output", token_output),
+]
+
+#: Learned language models and shuffles by hash have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

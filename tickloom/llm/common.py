@@ -168,6 +168,8 @@ def owners(doc_offs: np.ndarray) -> np.ndarray:
 # sends one binary value a bucket, so that Spark moves thousands of rows and not hundreds of millions.
 
 BLOB = "bucket int, blob binary"
+#: How a document is named in them: its id, and a hash of its text.
+ID = np.dtype([("id", "<i8"), ("h", "<i8")])
 
 
 def pack(**arrays: np.ndarray) -> bytes:
@@ -198,51 +200,60 @@ def small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
 
 
-def deal(keys: np.ndarray, doc: np.ndarray, pos: np.ndarray | None, ids: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Records of a task as (bucket, blob) rows; doc indexes ids.
+def deal(keys: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, buckets: int, least: bool = False, keep: bool = False) -> pa.RecordBatch:
+    """Records of a task as (bucket, blob) rows; doc indexes ids, a structured array of (id, h).
 
-    Copies of a key within the task meet here: one record, marked `more`, stands for them in the exchange,
-    and the others go as `done`: their key is known to repeat. So no key sends more than a record a batch.
+    Copies of a key within the task meet here. One record, marked `more`, stands for them in the exchange; the
+    others are `done`, as their key is known to repeat, and travel by their document, with the key only to
+    `keep` it. With `least`, the records of the smallest id stand for the key and those of larger ids are done. Either way a
+    key of any frequency sends few records from a task, so no bucket grows with the copies of one key.
     """
-    order = np.argsort(keys, kind="stable")
+    if least:
+        order = np.lexsort((ids["id"][doc], keys))
+    else:
+        order = np.argsort(keys, kind="stable")
     k = keys[order]
     new = np.ones(len(k), dtype=bool)
     np.not_equal(k[1:], k[:-1], out=new[1:])
-    count = np.diff(np.append(np.flatnonzero(new), len(k)))
-    first, more = order[new], count > 1
-    done = order[~new]
+    if least and len(k):
+        group = np.cumsum(new) - 1
+        owner = ids["id"][doc[order]]
+        stay = owner == owner[new][group]
+        more = np.zeros(int(stay.sum()), dtype=bool)
+    else:
+        stay = new
+        more = np.diff(np.append(np.flatnonzero(new), len(k))) > 1
+    first, done = order[stay], order[~stay]
     back = np.argsort(first, kind="stable")
     first, more = first[back], more[back]
     rows_b, rows = [], []
-    for kind, at, flag in (("a", first, more), ("d", done, None)):
-        if not len(at):
-            continue
-        b = (keys[at] % _U(buckets)).astype(np.int64)
-        o = np.argsort(b.astype(np.uint16) if buckets < 65536 else b, kind="stable")
+    for at, flag, b in ((first, more, keys[first] % _U(buckets)), (np.sort(done), None, doc[np.sort(done)] % buckets)):
+        b = b.astype(np.uint16 if buckets < 65536 else np.int64)
+        o = np.argsort(b, kind="stable")
         at, b = at[o], b[o]
-        lim = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
-        for x, y in zip(lim, np.append(lim[1:], len(b)), strict=True):
+        lim = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else []
+        for x, y in zip(lim, np.append(lim[1:], len(b)).astype(np.int64), strict=True):
             part = at[x:y]
-            d = doc[part]
-            used, d = np.unique(d, return_inverse=True)
-            more_cols = {} if pos is None else {"pos": pos[part].astype(np.uint32)}
-            if kind == "a":
-                more_cols["more"] = np.packbits(flag[o[x:y]])
+            used, d = np.unique(doc[part], return_inverse=True)
+            own = {"key": keys[part], "more": np.packbits(flag[o[x:y]])} if flag is not None else {"known": keys[part]} if keep else {}
             rows_b.append(int(b[x]))
-            rows.append(pack(kind=np.frombuffer(kind.encode(), dtype=np.uint8), key=keys[part], ids=ids[used], doc=small(d), **more_cols))
+            rows.append(pack(ids=ids[used], doc=small(d), pos=pos[part].astype(np.uint32), **own))
     return pa.RecordBatch.from_arrays([pa.array(rows_b, pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "blob"])
 
 
 def gathered(blobs) -> dict[str, np.ndarray]:
-    """All records of a bucket: key, id, pos (if any), more, done."""
-    cols: dict[str, list] = {"key": [], "id": [], "pos": [], "more": [], "done": []}
+    """All records of a bucket: key, doc (a place in ids), pos, more, done, and the table ids."""
+    cols: dict[str, list] = {"key": [], "doc": [], "pos": [], "more": [], "done": [], "ids": []}
+    at = 0
     for x in map(unpack, blobs):
-        n, done = len(x["key"]), bytes(x["kind"]) == b"d"
-        cols["key"].append(x["key"])
-        cols["id"].append(x["ids"][x["doc"]])
-        cols["pos"].append(x.get("pos", np.zeros(0, dtype=np.uint32)))
+        n, done = len(x["pos"]), "key" not in x
+        cols["key"].append(x["key"] if not done else x.get("known", np.zeros(n, dtype=_U)))
+        cols["doc"].append(x["doc"].astype(np.int64) + at)
+        cols["pos"].append(x["pos"])
         cols["more"].append(np.ones(n, dtype=bool) if done else np.unpackbits(x["more"], count=n).astype(bool))
         cols["done"].append(np.full(n, done))
+        cols["ids"].append(x["ids"].view(ID))
+        at += len(x["ids"])
     return {k: np.concatenate(v) for k, v in cols.items()}
 
 
@@ -250,26 +261,54 @@ def repeated(r: dict[str, np.ndarray]) -> np.ndarray:
     """Which records have a key that another record has too."""
     order = np.argsort(r["key"], kind="stable")
     k = r["key"][order]
-    same = k[1:] == k[:-1]
+    same = (k[1:] == k[:-1]) & ~r["done"][order[1:]] & ~r["done"][order[:-1]]
     out = np.zeros(len(k), dtype=bool)
     out[order[1:][same]] = True
     out[order[:-1][same]] = True
     return out | r["more"]
 
 
-def by_id(ids: np.ndarray, pos: np.ndarray):
-    """Rows (doc_id, packed sorted positions), as pandas."""
+def not_least(r: dict[str, np.ndarray]) -> np.ndarray:
+    """Which records have a key that a smaller id has too."""
+    out = r["done"].copy()
+    at = np.flatnonzero(~out)
+    owner = r["ids"]["id"][r["doc"][at]]
+    order = np.lexsort((owner, r["key"][at]))
+    k = r["key"][at][order]
+    new = np.ones(len(k), dtype=bool)
+    np.not_equal(k[1:], k[:-1], out=new[1:])
+    if len(k):
+        out[at[order]] = owner[order] > owner[order][new][np.cumsum(new) - 1]
+    return out
+
+
+#: How hits travel: the document's id and text hash, and places in it.
+HITS = "k long, h long, hits binary"
+
+
+def as_hits(r: dict[str, np.ndarray], hit: np.ndarray):
+    """The records under `hit` as rows of HITS, as pandas."""
     import pandas as pd
 
-    order = np.lexsort((pos, ids))
-    ids, pos = ids[order], pos[order]
-    at = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, dtype=np.int64)
-    end = np.append(at[1:], len(ids)).astype(np.int64)
-    return pd.DataFrame({"doc_id": ids[at], "hits": [pack(p=np.diff(pos[a:b].astype(np.uint32), prepend=np.uint32(0))) for a, b in zip(at, end, strict=True)]})
+    doc, pos = r["doc"][hit], r["pos"][hit].astype(np.uint32)
+    order = np.lexsort((pos, doc))
+    doc, pos = doc[order], pos[order]
+    at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, dtype=np.int64)
+    end = np.append(at[1:], len(doc)).astype(np.int64)
+    ids = r["ids"][doc[at]]
+    return pd.DataFrame({"k": ids["id"], "h": ids["h"], "hits": [pack(p=np.diff(pos[a:b], prepend=np.uint32(0))) for a, b in zip(at, end, strict=True)]})
+
 
+def positions(hits: list[bytes] | None) -> np.ndarray:
+    found = [np.cumsum(unpack(h)["p"].astype(np.int64)) for h in hits or ()]
+    return np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
 
-def positions(hits: list[bytes]) -> np.ndarray:
-    return np.concatenate([np.cumsum(unpack(h)["p"].astype(np.int64)) for h in hits]) if hits is not None and len(hits) else np.zeros(0, dtype=np.int64)
+
+def id_table(batch: pa.RecordBatch) -> np.ndarray:
+    """The first two columns, k and h, as one structured array."""
+    out = np.empty(batch.num_rows, dtype=ID)
+    out["id"], out["h"] = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+    return out
 
 
 def exchange(entries: DataFrame, reduce: Callable, schema: str) -> DataFrame:

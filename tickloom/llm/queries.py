@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, quality, secrets, sst, token_counts
+from . import anchors, decontam, langid, mixing, ngram_jaccard, quality, secrets, sst, suffixes, token_counts
 from .common import documents
 
 
@@ -16,6 +16,10 @@ def _path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.linked(documents(spark, sf_dir))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), _path("piece_bpe_32k.model"))
 
@@ -33,6 +37,18 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removal_digest(documents(spark, sf_dir))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op8_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors.removal_digest(documents(spark, sf_dir))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -42,7 +58,11 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op3_source_mix, op4_language_id, op5_secret_scan, op9_quality_rules, op10_token_shards)
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard, op2_token_counts, op3_source_mix, op4_language_id, op5_secret_scan,
+        op6_suffix_dedup, op7_decontamination, op8_anchor_dedup, op9_quality_rules, op10_token_shards,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
