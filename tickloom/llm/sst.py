@@ -172,6 +172,10 @@ def _tokenizer(path: str):
     return t, [a.content for a in t.get_added_tokens_decoder().values()], 2 if t.get_vocab_size() <= 65536 else 4
 
 
+#: By tokenizer; a worker process keeps it from task to task.
+_memos: dict[str, dict[str, bytes]] = {}
+
+
 def encode(texts: list[str], path: str, memo: dict[str, bytes]) -> list[bytes]:
     """Ids of whole texts as packed little-endian integers, as the library gives them without added specials.
 
@@ -220,7 +224,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
         end = np.array([end_id], dtype=f"<u{width}").tobytes()
         store, root = fs.FileSystem.from_uri(path)
         store.create_dir(root, recursive=True)
-        part, memo, made, writer = TaskContext.get().partitionId(), {}, [], None
+        part, memo, made, writer = TaskContext.get().partitionId(), _memos.setdefault(tokenizer, {}), [], None
 
         def close():
             out.write(writer.finish())

@@ -76,6 +76,10 @@ def count_tokens(texts: list[str], processor, memo: dict[str, int]) -> list[int]
     return out
 
 
+#: By model; a worker process keeps it from task to task.
+_memos: dict[str, dict[str, int]] = {}
+
+
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
@@ -85,11 +89,12 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
 
     def run(batches):
         processor, apart, whole = _load(model_path)
-        memo = dict(whole)
+        memo = _memos.setdefault(model_path, dict(whole))
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             if len(memo) > MEMO + len(whole):
-                memo = dict(whole)
+                memo.clear()
+                memo.update(whole)
             if apart:
                 counts = count_tokens(texts, processor, memo)
             else:
