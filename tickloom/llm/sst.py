@@ -169,7 +169,11 @@ def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    return t, [a.content for a in t.get_added_tokens_decoder().values()], 2 if t.get_vocab_size() <= 65536 else 4
+    # in a byte-level vocabulary each character of a token stands for one byte
+    lengths = np.zeros(t.get_vocab_size(), dtype=np.int64)
+    for token, i in t.get_vocab().items():
+        lengths[i] = len(token)
+    return t, [a.content for a in t.get_added_tokens_decoder().values()], 2 if t.get_vocab_size() <= 65536 else 4, lengths
 
 
 #: By tokenizer; a worker process keeps it from task to task.
@@ -182,7 +186,7 @@ def encode(texts: list[str], path: str, memo: dict[str, bytes]) -> list[bytes]:
     A byte-level pre-tokenizer never joins characters over a single blank, so each blank with what follows
     it is encoded once and remembered. Texts with other blanks or with special strings go whole to the library.
     """
-    t, specials, width = _tokenizer(path)
+    t, specials, width, lengths = _tokenizer(path)
     dtype = f"<u{width}"
     whole, parts = {}, []
     for i, text in enumerate(texts):
@@ -195,8 +199,18 @@ def encode(texts: list[str], path: str, memo: dict[str, bytes]) -> list[bytes]:
         else:
             parts.append([])
     new = list(dict.fromkeys(u for p in parts for u in p if u not in memo))
-    for u, e in zip(new, t.encode_batch_fast(new, add_special_tokens=False), strict=True):
+    heads, rest = [u for u in new if u[0] != " "], [u for u in new if u[0] == " "]
+    for u, e in zip(heads, t.encode_batch_fast(heads, add_special_tokens=False), strict=True):
         memo[u] = np.array(e.ids, dtype=dtype).tobytes()
+    # units that begin with a blank stay apart in one text, so it is encoded at once and cut by the tokens' bytes
+    for a in range(0, len(rest), 2000):
+        some = rest[a : a + 2000]
+        ids = np.array(t.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, dtype=dtype)
+        ends = np.searchsorted(np.cumsum(lengths[ids]), np.cumsum([len(u.encode()) for u in some])) + 1
+        raw, at = ids.tobytes(), 0
+        for u, end in zip(some, (ends * width).tolist(), strict=True):
+            memo[u] = raw[at:end]
+            at = end
     out = [b"".join(map(memo.__getitem__, p)) for p in parts]
     for i, e in zip(whole, t.encode_batch_fast(list(whole.values()), add_special_tokens=False), strict=True):
         out[i] = np.array(e.ids, dtype=dtype).tobytes()
