@@ -231,7 +231,9 @@ def deal(keys: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, bu
         b = b.astype(np.uint16 if buckets < 65536 else np.int64)
         o = np.argsort(b, kind="stable")
         at, b = at[o], b[o]
-        lim = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else []
+        if not len(b):
+            continue
+        lim = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
         for x, y in zip(lim, np.append(lim[1:], len(b)).astype(np.int64), strict=True):
             part = at[x:y]
             used, d = np.unique(doc[part], return_inverse=True)
