@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: Fixed value: what separates words, as a Java and RE2 pattern.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of text that a task hashes at once; a longer document is one chunk.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 _U = np.uint64
 _R = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
@@ -250,7 +250,7 @@ def gathered(blobs) -> dict[str, np.ndarray]:
     for x in map(unpack, blobs):
         n, done = len(x["pos"]), "key" not in x
         cols["key"].append(x["key"] if not done else x.get("known", np.zeros(n, dtype=_U)))
-        cols["doc"].append(x["doc"].astype(np.int64) + at)
+        cols["doc"].append(x["doc"].astype(np.int32) + np.int32(at))
         cols["pos"].append(x["pos"])
         cols["more"].append(np.ones(n, dtype=bool) if done else np.unpackbits(x["more"], count=n).astype(bool))
         cols["done"].append(np.full(n, done))

@@ -113,10 +113,12 @@ def repeated_windows(rows: DataFrame, f: Finder, units_total: int) -> DataFrame:
     """(k, h, hits): places of the windows that start elsewhere too, or in a smaller id, in rows of keyed()."""
     spark = rows.sparkSession
     sampled = units_total * (f.p + 1) // f.v
-    found = exchange(_anchors(rows, f, (n := bucket_count(spark, sampled))), lambda r: as_hits(r, repeated(r)), HITS)
+    found = exchange(_anchors(rows, f, bucket_count(spark, sampled)), lambda r: as_hits(r, repeated(r)), HITS)
     found = materialize(found)
     some = rows.filter(id_filter(found, "k")("k")).join(_collected(found), ["k", "h"])
     decide = not_least if f.least else repeated
+    # what stays is less than all units; buckets for a quarter of them are small enough if all stayed
+    n = bucket_count(spark, units_total // 4)
     return materialize(exchange(_candidates(some, f, n), lambda r: as_hits(r, decide(r)), HITS))
 
 
