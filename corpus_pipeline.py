@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import decontam, langid, mixing, ngram_jaccard, sst
-from tickloom.llm.common import documents, materialize
+from tickloom.llm.common import bounded_batches, documents, materialize
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found; null, letterless and undecided texts go."""
+    bounded_batches(spark)
     return langid.kept_languages(docs)
 
 
