@@ -127,6 +127,10 @@ ceil = _call("cast(ceil({0}) as double)", "float(_ceil({0}))")
 sign = _call("case when {0} > 0 then 1e0 when {0} < 0 then -1e0 else 0e0 end", "_sign({0})")
 
 
+#: A slope that is 0 but for the last bits counts as 0, whatever the order of its sums.
+settled = _call("round({0}, 9)", "round({0}, 9)")
+
+
 def clamp(x, high, low) -> E:
     return mn(mx(x, low), high)
 

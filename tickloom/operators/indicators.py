@@ -10,7 +10,7 @@ from tickloom.functions.expr import E
 from tickloom.plans.series import rounded
 from tickloom.sources.bars import HOURLY_SQL, hourly
 
-from . import averages, momentum, trend  # noqa: F401
+from . import averages, channels, momentum, trend, volatility  # noqa: F401
 from .registry import AVERAGES, REGISTRY, ChainError, Context, Result
 
 
@@ -49,7 +49,7 @@ def column_name(key: str) -> str:
 
 def columns(result: Result) -> dict[str, E]:
     out = {column_name(k): e for k, e in result.outputs.items()}
-    return out | ({"signal": result.signal} if result.signal is not None else {})
+    return out | ({"trade_signal": result.signal} if result.signal is not None else {})
 
 
 def indicator(bars: DataFrame, name: str, **params) -> DataFrame:
@@ -74,7 +74,7 @@ def query(name: str):
         s = Context()
         out = columns(REGISTRY[name].run(s))
         df = s.frame(hourly(spark, sf_dir), out)
-        return df.selectExpr("symbol", "seq", *(k if k == "signal" else f"{rounded(k, DIGITS)} as {k}" for k in out))
+        return df.selectExpr("symbol", "seq", *(k if k == "trade_signal" else f"{rounded(k, DIGITS)} as {k}" for k in out))
 
     return run
 

@@ -7,7 +7,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from tickloom.functions.expr import E, abs_, clamp, div, lit, mn, mx, rsi_of, sq, sqrt, where
+from tickloom.functions.expr import E, abs_, clamp, div, lit, mn, mx, rsi_of, settled, sq, sqrt, where
 from tickloom.plans.series import Series
 
 
@@ -257,20 +257,20 @@ class Context(Series):
 
     def compare(self, slope: E, reverse: bool = False) -> E:
         """Buy or sell by the sign of a slope, strong where it grows too."""
-        s = self.let(-slope if reverse else slope)
+        s = self.let(settled(-slope if reverse else slope))
         p = self._was(s)
         return where((s > 0) & (s > p), "StrongBuy", where((s < 0) & (s < p), "StrongSell", where(s > 0, "Buy", where(s < 0, "Sell", "None"))))
 
     def crossing(self, slope: E, value: E, over: float | E, under: float | E, reverse: bool = False) -> E:
         """compare(), and crossings of an overbought and an oversold level."""
-        s, v = self.let(-slope if reverse else slope), self.let(value)
+        s, v = self.let(settled(-slope if reverse else slope)), self.let(settled(value))
         p, w, over, under = self._was(s), self._was(v), lit(over), lit(under)
         up, down = ((w > under) & (v < under), (w < over) & (v > over)) if reverse else ((w < under) & (v > under), (w > over) & (v < over))
         return where((s > 0) & (s > p), "StrongBuy", where((s < 0) & (s < p), "StrongSell", where((s > 0) | up, "Buy", where((s < 0) | down, "Sell", "None"))))
 
     def both(self, bull: E, bear: E, reverse: bool = False) -> E:
         """A slope that buys and another that sells."""
-        u, d = self.let(-bull if reverse else bull), self.let(-bear if reverse else bear)
+        u, d = self.let(settled(-bull if reverse else bull)), self.let(settled(-bear if reverse else bear))
         pu, pd = self._was(u), self._was(d)
         return where((u > 0) & (u > pu), "StrongBuy", where((d < 0) & (d < pd), "StrongSell", where(u > 0, "Buy", where(d < 0, "Sell", "None"))))
 
@@ -279,13 +279,13 @@ class Context(Series):
 
     def bands(self, slope: E, upper: E, lower: E, value: E | None = None) -> E:
         """compare(), and a return from beyond a band."""
-        s, v, u, l = self.let(slope), self.let(self.x if value is None else value), self.let(upper), self.let(lower)
+        s, v, u, l = (self.let(settled(e)) for e in (slope, self.x if value is None else value, upper, lower))
         p, pv, pu, pl = map(self._was, (s, v, u, l))
         return where((s > 0) & (s > p), "StrongBuy", where((s < 0) & (s < p), "StrongSell", where((s > 0) | ((pv < pl) & (v > l)), "Buy", where((s < 0) | ((pv > pu) & (v < u)), "Sell", "None"))))
 
     def volatile(self, slope: E, value: E, least: E | float) -> E:
         """compare() where volatility reaches a level, nothing elsewhere."""
-        return where(lit(value) >= lit(least), self.compare(slope), "None")
+        return where(settled(lit(value) - lit(least)) >= 0, self.compare(slope), "None")
 
     def band_result(self, upper: E, middle: E, lower: E, signal: str | None = "bands", names=("UpperBand", "MiddleBand", "LowerBand")) -> Result:
         u, m, l = map(self.let, (upper, middle, lower))

@@ -192,7 +192,8 @@ class Series:
         df = bars
         for kind, nodes in self.stages(list(outputs.values())):
             if kind == "w":
-                df = df.selectExpr("*", *(f"{n.expr.sql} as {n.name}" for n in nodes))
+                # the one spelling that differs between Spark and the SQL of the oracle
+                df = df.selectExpr("*", *(f"{n.expr.sql.replace(' ignore nulls) over', ') ignore nulls over')} as {n.name}" for n in nodes))
             else:
                 df = scan_frame(df, nodes)
         return df.selectExpr("symbol", "seq", *(f"{e.sql} as {k}" for k, e in outputs.items()))
@@ -221,7 +222,7 @@ class Series:
                 parts.append(f"r{k}(sym, r, {cols}) as ({first} union all {then})")
                 parts.append(f"b{k} as materialized (select {at}.*, {', '.join(f'v{n} as {n}' for n in names)} from {at} join r{k} on r{k}.sym = {at}.symbol and r{k}.r = {at}.rn)")
             at = f"b{k}"
-        cols = ", ".join(f"{e.sql if k == 'signal' else rounded(e.sql, digits)} as {k}" for k, e in outputs.items())
+        cols = ", ".join(f"{e.sql if k == 'trade_signal' else rounded(e.sql, digits)} as {k}" for k, e in outputs.items())
         return f"with recursive {', '.join(parts)} select symbol, seq, {cols} from {at}"
 
 
