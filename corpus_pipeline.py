@@ -57,5 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, over the whole of documents."""
     docs = documents(spark, sf_dir)
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        docs = materialize(stage(spark, docs, sf_dir), release=True)
     return STAGES[-1][1](spark, docs, sf_dir)

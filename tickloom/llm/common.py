@@ -41,11 +41,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tickloom-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: a cut of lineage that survives lost executors."""
+def materialize(df: DataFrame, release: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it back: a cut of lineage that survives lost executors.
+
+    With `release`, the shuffle files of the finished step are let go at once: Spark's cleaner removes them
+    when the driver's garbage is collected, which a small driver may not do for long.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
+    if release:
+        spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._tickloom_path = path
     return out
@@ -73,6 +79,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows(k, h, ...) less the pairs in gone(k, h); only texts whose id may be among them are shuffled."""
+    maybe = id_filter(gone, "k")("k")
+    return rows.filter(~maybe).unionByName(rows.filter(maybe).join(gone, ["k", "h"], "left_anti").select(*rows.columns))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -311,7 +323,14 @@ def as_hits(r: dict[str, np.ndarray], hit: np.ndarray):
     return pd.DataFrame({"k": ids["id"], "h": ids["h"], "hits": [pack(p=np.diff(pos[a:b], prepend=np.uint32(0))) for a, b in zip(at, end, strict=True)]})
 
 
+#: In place of packed positions: every window of the document.
+WHOLE = b""
+
+
 def positions(hits: list[bytes] | None) -> np.ndarray:
+    """Positions of packed hits; -1 alone for all there are."""
+    if hits and WHOLE in hits:
+        return np.array([-1])
     found = [np.cumsum(unpack(h)["p"].astype(np.int64)) for h in hits or ()]
     return np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
 
@@ -363,4 +382,7 @@ def id_filter(ids: DataFrame, column: str = "doc_id") -> Callable:
         at = s.to_numpy().astype(np.int64)
         return pd.Series((sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
 
+    # its result depends on the id alone; said otherwise, the planner keeps it where it stands, and does not
+    # derive the same test for the other side of a join, where it tells nothing
+    test = test.asNondeterministic()
     return lambda c: test(F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(FILTER_BITS)))

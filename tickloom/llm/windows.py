@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB, HITS, as_hits, bucket_count, chunks, deal, exchange, id_filter, id_table, materialize, not_least, owners, positions, repeated
+from .common import BLOB, HITS, WHOLE, as_hits, bucket_count, chunks, deal, exchange, id_filter, id_table, materialize, not_least, owners, positions, repeated, without
 
 
 def difference_cover(p: int) -> tuple[int, np.ndarray]:
@@ -110,16 +110,27 @@ def _candidates(rows: DataFrame, f: Finder, buckets: int) -> DataFrame:
 
 
 def repeated_windows(rows: DataFrame, f: Finder, units_total: int) -> DataFrame:
-    """(k, h, hits): places of the windows that start elsewhere too, or in a smaller id, in rows of keyed()."""
+    """(k, h, hits): places of the windows that start elsewhere too, or in a smaller id, in rows of keyed().
+
+    Copies of whole texts are told by their hashes and lengths. One of each goes through the passes; of the
+    others all windows are hits, and with `least` not set those of the first too.
+    """
     spark = rows.sparkSession
+    alike = ["h", F.octet_length("text").alias("size"), F.hash("text").alias("other")]
+    prints = materialize(rows.select("k", *alike))
+    classes = prints.groupBy("h", "size", "other").agg(F.min("k").alias("rep"), F.count("*").alias("copies")).filter("copies > 1 and size > 0")
+    copies = materialize(prints.join(classes, ["h", "size", "other"]).select("k", "h", (F.col("k") != F.col("rep")).alias("gone")))
+    own = without(rows, copies.filter("gone").select("k", "h"))
+    whole = (copies.filter("gone") if f.least else copies).select("k", "h", F.lit(WHOLE).alias("hits"))
     sampled = units_total * (f.p + 1) // f.v
-    found = exchange(_anchors(rows, f, bucket_count(spark, sampled)), lambda r: as_hits(r, repeated(r)), HITS)
-    found = materialize(found)
-    some = rows.filter(id_filter(found, "k")("k")).join(_collected(found), ["k", "h"])
+    found = exchange(_anchors(own, f, bucket_count(spark, sampled)), lambda r: as_hits(r, repeated(r)), HITS)
+    found = materialize(found, release=True)
+    some = own.filter(id_filter(found, "k")("k")).join(_collected(found), ["k", "h"])
     decide = not_least if f.least else repeated
     # what stays is less than all units; buckets for a quarter of them are small enough if all stayed
     n = bucket_count(spark, units_total // 4)
-    return materialize(exchange(_candidates(some, f, n), lambda r: as_hits(r, decide(r)), HITS))
+    windows = materialize(exchange(_candidates(some, f, n), lambda r: as_hits(r, decide(r)), HITS), release=True)
+    return windows.union(whole)
 
 
 def with_windows(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -130,7 +141,9 @@ def with_windows(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
-    """Which of n units a window of that width at one of the starts covers."""
+    """Which of n units a window of that width at one of the starts covers; -1 alone stands for all starts."""
+    if len(starts) == 1 and starts[0] < 0:
+        return np.full(n, n >= width)
     step = np.zeros(n + 1, dtype=np.int32)
     starts = np.unique(starts)
     step[starts] += 1
