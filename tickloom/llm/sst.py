@@ -31,7 +31,7 @@ BLOCK_BYTES, RESTART, BLOOM_BITS, BLOOM_HASHES = 64 << 10, 16, 10, 7
 #: A writer starts the next file at this size, so that a reader holds no more in memory.
 SHARD_BYTES = 16 << 20
 #: Distinct units that a worker keeps the ids of.
-MEMO = 700_000
+MEMO = 800_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -188,32 +188,44 @@ def encode(texts: list[str], path: str, memo: dict[str, bytes]) -> list[bytes]:
     """
     t, specials, width, lengths = _tokenizer(path)
     dtype = f"<u{width}"
-    whole, parts = {}, []
+    whole, out, open_ = {}, [], []
+    known = memo.get
     for i, text in enumerate(texts):
         if "  " in text or text.endswith(" ") or any(s in text for s in specials):
             whole[i] = text
-            parts.append([])
-        elif text:
-            head, *rest = text.split(" ")
-            parts.append([*([head] if head else []), *[" " + u for u in rest]])
+            out.append(b"")
+            continue
+        units = text.split(" ")
+        # the memo holds what follows a blank; a text's head, which follows none, is encoded by itself
+        found = list(map(known, units[1:]))
+        if None in found:
+            open_.append((i, units, found))
+            out.append(b"")
         else:
-            parts.append([])
-    new = list(dict.fromkeys(u for p in parts for u in p if u not in memo))
-    heads, rest = [u for u in new if u[0] != " "], [u for u in new if u[0] == " "]
-    for u, e in zip(heads, t.encode_batch_fast(heads, add_special_tokens=False), strict=True):
-        memo[u] = np.array(e.ids, dtype=dtype).tobytes()
-    # units that begin with a blank stay apart in one text, so it is encoded at once and cut by the tokens' bytes
-    for a in range(0, len(rest), 2000):
-        some = rest[a : a + 2000]
-        ids = np.array(t.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, dtype=dtype)
-        ends = np.searchsorted(np.cumsum(lengths[ids]), np.cumsum([len(u.encode()) for u in some])) + 1
+            out.append(b"".join(found))
+        if units[0]:
+            whole[~i] = units[0]
+    new = list(dict.fromkeys(u for _, units, found in open_ for u, f in zip(units[1:], found, strict=True) if f is None))
+    # units that follow a blank stay apart in one text, so it is encoded at once and cut by the tokens' bytes
+    fresh: dict[str, bytes] = {}
+    for a in range(0, len(new), 2000):
+        some = new[a : a + 2000]
+        ids = np.array(t.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, dtype=dtype)
+        ends = np.searchsorted(np.cumsum(lengths[ids]), np.cumsum([len(u.encode()) + 1 for u in some])) + 1
         raw, at = ids.tobytes(), 0
         for u, end in zip(some, (ends * width).tolist(), strict=True):
-            memo[u] = raw[at:end]
+            fresh[u] = raw[at:end]
             at = end
-    out = [b"".join(map(memo.__getitem__, p)) for p in parts]
+    for i, units, found in open_:
+        out[i] = b"".join(f or fresh[u] for u, f in zip(units[1:], found, strict=True))
+    if len(memo) < MEMO:  # what comes first is what comes often; later finds are kept for their batch alone
+        memo.update(fresh)
     for i, e in zip(whole, t.encode_batch_fast(list(whole.values()), add_special_tokens=False), strict=True):
-        out[i] = np.array(e.ids, dtype=dtype).tobytes()
+        ids = np.array(e.ids, dtype=dtype).tobytes()
+        if i < 0:
+            out[~i] = ids + out[~i]
+        else:
+            out[i] = ids
     return out
 
 
@@ -250,8 +262,6 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 some = batch.slice(a, 500)
-                if len(memo) > MEMO:
-                    memo.clear()
                 for i, ids in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist(), tokenizer, memo), strict=True):
                     if writer is None:
                         writer, temp = ShardWriter(width), f"{root}/_{uuid.uuid4().hex}"
