@@ -81,8 +81,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
     """rows(k, h, ...) less the pairs in gone(k, h); only texts whose id may be among them are shuffled."""
-    maybe = id_filter(gone, "k")("k")
-    return rows.filter(~maybe).unionByName(rows.filter(maybe).join(gone, ["k", "h"], "left_anti").select(*rows.columns))
+    rest = marked(rows, gone, "k").filter("not _in").drop("_in")
+    return rest.unionByName(among(rows, gone, "k").join(gone, ["k", "h"], "left_anti").select(*rows.columns))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -362,27 +362,20 @@ def bucket_count(spark: SparkSession, records: int, each: int = 1_000_000) -> in
 FILTER_BITS = 1 << 23
 
 
-def id_filter(ids: DataFrame, column: str = "doc_id") -> Callable:
-    """A column function: true for all ids of the frame and for few others; what it sends has FILTER_BITS bits.
+def marked(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """df with `_in`: true for all rows whose id is in ids(column), and for few others.
 
-    Only a shortcut before an exact join: it keeps texts that no row of `ids` needs out of the shuffle.
+    A bitmap of FILTER_BITS bits, in rows of 4 kB, is broadcast: 1 MB whatever the input. It is only a shortcut
+    before an exact join, and keeps texts that no row of ids needs out of the shuffle.
     """
-    spark = ids.sparkSession
     slot = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(FILTER_BITS)) + 1  # from 1, as bitmap buckets count
-    rows = ids.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m")).collect()
-    bits = np.zeros(FILTER_BITS, dtype=np.uint8)
-    for b, m in rows:
-        bits[(b - 1) * 32768 : b * 32768] = np.unpackbits(np.frombuffer(m, dtype=np.uint8), bitorder="little")
-    sent = spark.sparkContext.broadcast(np.packbits(bits))
-
-    @F.pandas_udf("boolean")
-    def test(s):
-        import pandas as pd
-
-        at = s.to_numpy().astype(np.int64)
-        return pd.Series((sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
-
-    # its result depends on the id alone; said otherwise, the planner keeps it where it stands, and does not
-    # derive the same test for the other side of a join, where it tells nothing
-    test = test.asNondeterministic()
-    return lambda c: test(F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(FILTER_BITS)))
+    maps = ids.select(F.bitmap_bucket_number(slot).alias("_b"), F.bitmap_bit_position(slot).alias("_p")).groupBy("_b").agg(F.bitmap_construct_agg("_p").alias("_m"))
+    rows = df.withColumn("_b", F.bitmap_bucket_number(slot)).withColumn("_p", F.bitmap_bit_position(slot)).join(F.broadcast(maps), "_b", "left")
+    byte = F.conv(F.hex(F.substring("_m", F.floor(F.col("_p") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.expr("shiftright(_y, cast(_p % 8 as int)) & 1")
+    return rows.withColumn("_y", byte).select(*df.columns, (F.coalesce(bit, F.lit(0)) == 1).alias("_in"))
+
+
+def among(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """The rows of df whose id is in ids, and few others."""
+    return marked(df, ids, column).filter("_in").drop("_in")

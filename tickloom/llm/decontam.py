@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, id_filter, id_table, materialize, mix, prefix_hash, span_hash
+from .common import among, chunks, id_table, marked, materialize, mix, prefix_hash, span_hash
 from .windows import keyed
 
 #: Tokens of a window; literal tokens among them at least; windows of an item on one diagonal (or all it has).
@@ -162,7 +162,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = materialize(item_windows(benchmark))
     hits = materialize(_hits(rows, items))
     pairs = materialize(hits.join(items.select("key", "item_id"), "key").groupBy("k", "h", "item_id").agg(F.count("*").alias("n")))
-    texts = rows.filter(id_filter(pairs, "k")("k"))
+    texts = among(rows, pairs, "k")
     named = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("item_text"))
     both = pairs.join(texts, ["k", "h"]).join(named.withColumnRenamed("item_id", "i"), F.col("item_id").eqNullSafe(F.col("i"))).select("doc_id", "item_id", "text", "item_text")
 
@@ -179,5 +179,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns; rows without an id stay."""
     gone = materialize(contaminated(docs, benchmark).select("doc_id").na.drop().distinct())
-    maybe = F.coalesce(id_filter(gone)("doc_id"), F.lit(False))
-    return docs.filter(~maybe).unionByName(docs.filter(maybe).join(gone, "doc_id", "left_anti"))
+    rest = marked(docs, gone).filter("not _in").drop("_in")
+    return rest.unionByName(among(docs, gone).join(gone, "doc_id", "left_anti").select(*docs.columns))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB, HITS, WHOLE, as_hits, bucket_count, chunks, deal, exchange, id_filter, id_table, materialize, not_least, owners, positions, repeated, without
+from .common import BLOB, HITS, WHOLE, among, as_hits, bucket_count, chunks, deal, exchange, id_table, marked, materialize, not_least, owners, positions, repeated, without
 
 
 def difference_cover(p: int) -> tuple[int, np.ndarray]:
@@ -125,7 +125,7 @@ def repeated_windows(rows: DataFrame, f: Finder, units_total: int) -> DataFrame:
     sampled = units_total * (f.p + 1) // f.v
     found = exchange(_anchors(own, f, bucket_count(spark, sampled)), lambda r: as_hits(r, repeated(r)), HITS)
     found = materialize(found, release=True)
-    some = own.filter(id_filter(found, "k")("k")).join(_collected(found), ["k", "h"])
+    some = among(own, found, "k").join(_collected(found), ["k", "h"])
     decide = not_least if f.least else repeated
     # what stays is less than all units; buckets for a quarter of them are small enough if all stayed
     n = bucket_count(spark, units_total // 4)
@@ -135,9 +135,8 @@ def repeated_windows(rows: DataFrame, f: Finder, units_total: int) -> DataFrame:
 
 def with_windows(rows: DataFrame, found: DataFrame) -> DataFrame:
     """rows with `hits`, a list or null; texts without hits stay where they are, apart from few."""
-    test = id_filter(found, "k")
-    hit = rows.filter(test("k")).join(_collected(found), ["k", "h"], "left")
-    return hit.unionByName(rows.filter(~test("k")).withColumn("hits", F.lit(None).cast("array<binary>")))
+    hit = among(rows, found, "k").join(_collected(found), ["k", "h"], "left")
+    return hit.unionByName(marked(rows, found, "k").filter("not _in").drop("_in").withColumn("hits", F.lit(None).cast("array<binary>")))
 
 
 def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
