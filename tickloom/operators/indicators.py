@@ -10,7 +10,7 @@ from tickloom.functions.expr import E
 from tickloom.plans.series import rounded
 from tickloom.sources.bars import HOURLY_SQL, hourly
 
-from . import averages, channels, momentum, trend, volatility  # noqa: F401
+from . import averages, channels, cycles, momentum, oscillators, trend, volatility  # noqa: F401
 from .registry import AVERAGES, REGISTRY, ChainError, Context, Result
 
 
