@@ -201,7 +201,8 @@ class Series:
     def sql(self, bars: str, outputs: dict[str, E], digits: int = 4) -> str:
         """The same rows as DuckDB SQL over a query that gives bars; scans become recursive queries."""
         parts, at = [f"b0 as materialized ({bars})"], "b0"
-        for k, (kind, nodes) in enumerate(self.stages(list(outputs.values())), 1):
+        staged = [(kind, some) for kind, nodes in self.stages(list(outputs.values())) for some in ([nodes] if kind == "w" else _portions(nodes))]
+        for k, (kind, nodes) in enumerate(staged, 1):
             if kind == "w":
                 parts.append(f"b{k} as materialized (select *, {', '.join(f'{n.expr.sql} as {n.name}' for n in nodes)} from {at})")
             else:
@@ -231,6 +232,34 @@ def rounded(sql: str, digits: int) -> str:
     return f"round({sql} + 1.2345678e-{digits + 2}, {digits}) + 0e0"
 
 
+def _portions(nodes: list[Node], most: int = 1500) -> list[list[Node]]:
+    """The columns of a scan stage, cut where names that stand for expressions would make too long a text of them.
+
+    SQL writes out what a name of the same select stands for, so columns that read each other twice grow with
+    the power of their depth. Columns of one scan stay together.
+    """
+    groups: list[list[Node]] = []
+    for n in nodes:
+        if groups and n.group and groups[-1][0].group == n.group:
+            groups[-1].append(n)
+        else:
+            groups.append([n])
+    out: list[list[Node]] = [[]]
+    weight: dict[str, int] = {}
+    for group in groups:
+        for fresh in (False, True):
+            grown = {} if fresh else dict(weight)
+            for n in group:
+                grown[n.name] = 1 + sum(grown.get(x, 1) for x in re.findall(r"\bc\d+\b", n.expr.sql))
+            if fresh or not out[-1] or max(grown[n.name] for n in group) <= most:
+                break
+        if fresh:
+            out.append([])
+        out[-1] += group
+        weight = grown
+    return out
+
+
 def _source(nodes: list[Node], reads: list[str]) -> str:
     lines = ["def run(state, rows):", *(f"    z{n.name} = state[{k}]" for k, n in enumerate(nodes)), "    out = []", f"    for {', '.join([*reads, '_'])} in rows:"]
     for n in nodes:
