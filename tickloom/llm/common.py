@@ -222,13 +222,15 @@ def small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
 
 
-def deal(keys: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, buckets: int, least: bool = False, keep: bool = False) -> pa.RecordBatch:
+def deal(keys: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, buckets: int, least: bool = False, keep: bool = False, short: bool = False) -> pa.RecordBatch:
     """Records of a task as (bucket, blob) rows; doc indexes ids, a structured array of (id, h).
 
     Copies of a key within the task meet here. One record, marked `more`, stands for them in the exchange; the
     others are `done`, as their key is known to repeat, and travel by their document, with the key only to
     `keep` it. With `least`, the records of the smallest id stand for the key and those of larger ids are done. Either way a
     key of any frequency sends few records from a task, so no bucket grows with the copies of one key.
+
+    With `short`, 40 bits of a key and its bucket travel for it: for keys that only propose what is verified later.
     """
     if least:
         order = np.lexsort((ids["id"][doc], keys))
@@ -259,7 +261,11 @@ def deal(keys: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, bu
         for x, y in zip(lim, np.append(lim[1:], len(b)).astype(np.int64), strict=True):
             part = at[x:y]
             used, d = np.unique(doc[part], return_inverse=True)
-            own = {"key": keys[part], "more": np.packbits(flag[o[x:y]])} if flag is not None else {"known": keys[part]} if keep else {}
+            name = "key" if flag is not None else "known"
+            own = ({f"{name}_low": keys[part].astype(np.uint32), f"{name}_high": (keys[part] >> _U(32)).astype(np.uint8), "bucket": np.array([b[x]], dtype=_U)} if short else {name: keys[part]}) if flag is not None or keep else {}
+            if short and flag is None:  # they are dealt by document, so their own bucket travels too
+                own["bucket"] = small(keys[part] % _U(buckets))
+            own |= {"more": np.packbits(flag[o[x:y]])} if flag is not None else {}
             rows_b.append(int(b[x]))
             rows.append(pack(ids=ids[used], doc=small(d), pos=pos[part].astype(np.uint32), **own))
     return pa.RecordBatch.from_arrays([pa.array(rows_b, pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "blob"])
@@ -270,6 +276,9 @@ def gathered(blobs) -> dict[str, np.ndarray]:
     cols: dict[str, list] = {"key": [], "doc": [], "pos": [], "more": [], "done": [], "ids": []}
     at = 0
     for x in map(unpack, blobs):
+        for name in ("key", "known"):
+            if f"{name}_low" in x:
+                x[name] = x[f"{name}_low"].astype(_U) | x[f"{name}_high"].astype(_U) << _U(32) | x["bucket"].astype(_U) << _U(40)
         n, done = len(x["pos"]), "key" not in x
         cols["key"].append(x["key"] if not done else x.get("known", np.zeros(n, dtype=_U)))
         cols["doc"].append(x["doc"].astype(np.int32) + np.int32(at))
