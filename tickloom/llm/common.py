@@ -327,7 +327,7 @@ def as_hits(r: dict[str, np.ndarray], hit: np.ndarray):
     order = np.lexsort((pos, doc))
     doc, pos = doc[order], pos[order]
     at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, dtype=np.int64)
-    end = np.append(at[1:], len(doc)).astype(np.int64)
+    end = np.append(at[1:], len(doc)).astype(np.int64)[: len(at)]
     ids = r["ids"][doc[at]]
     return pd.DataFrame({"k": ids["id"], "h": ids["h"], "hits": [pack(p=np.diff(pos[a:b], prepend=np.uint32(0))) for a, b in zip(at, end, strict=True)]})
 

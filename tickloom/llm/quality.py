@@ -9,6 +9,7 @@ expression, so a verdict is computed where the statistics are.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -71,7 +72,7 @@ def statistics(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> list[tuple[list[float], int]]:
-    """(statistics, 1 for poor quality) of about `most` labelled documents at most, chosen by hashed id."""
+    """(statistics, 1 for poor quality) of about `most` labelled documents at most, chosen and ordered by hashed id."""
     named = labels.filter("quality is not null and doc_id is not null").select("doc_id", "quality")
     n = named.count()
     draw = F.pmod(F.xxhash64(F.lit("quality sample"), "doc_id"), F.lit(1 << 30)) / (1 << 30)
@@ -79,7 +80,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) ->
     # ids alone are sampled on the other side too, so that only chosen texts are read into statistics
     texts = docs.filter(draw < min(1.0, most / max(n, 1))).select("doc_id", "text").join(chosen, "doc_id")
     rows = statistics(texts, ("quality",)).select("doc_id", *(F.expr(e).alias(k) for k, e in STATS.items()), (F.col("quality") == 0).cast("int").alias("poor"))
-    return [([r[k] for k in STATS], r["poor"]) for r in sorted(rows.distinct().collect())]
+    return [([r[k] for k in STATS], r["poor"]) for r in sorted(rows.distinct().collect(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r))]
 
 
 Test = tuple[int, str, float]

@@ -240,6 +240,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     parts = rows.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
+    folder = docs.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(docs.sparkSession._jsc.hadoopConfiguration()).mkdirs(folder)  # an empty table writes no file
+
     def run(batches):
         import uuid
 
