@@ -148,12 +148,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0]
 
 
-def chunks(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of a batch with about CHUNK bytes of text each, with their bytes and offsets."""
+def chunks(batch: pa.RecordBatch, text: str = "text", size: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of a batch with about `size` bytes of text each, with their bytes and offsets."""
     data, offs = buffers(batch.column(batch.schema.get_field_index(text)))
     a, n = 0, batch.num_rows
     while a < n:
-        b = max(a + 1, int(np.searchsorted(offs, offs[a] + CHUNK, side="right")) - 1)
+        b = max(a + 1, int(np.searchsorted(offs, offs[a] + size, side="right")) - 1)
         b = min(b, n)
         yield batch.slice(a, b - a), data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
         a = b

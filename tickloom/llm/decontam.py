@@ -24,6 +24,9 @@ WINDOW, LITERAL, RUN = 8, 4, 6
 #: Benchmark windows up to which their hashes (8 bytes each) go to every executor; beyond, windows meet in a join.
 SENT_WINDOWS = 2_000_000
 
+#: Words that a worker keeps the tokens of.
+LEXICON = 100_000
+
 #: Words that count as units.
 UNITS = "mm cm m km inch inches foot feet yard yards mile miles g kg mg lb lbs pound pounds ounce ounces ton tons ml l litre litres liter liters gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years mph kmh km/h m/s dollar dollars euro euros cent cents percent degree degrees celsius fahrenheit watt watts volt volts amp amps joule joules newton newtons".split()
 
@@ -36,7 +39,7 @@ class Lexicon(dict):
     """word -> (hash of its literal token with two flags below, kind): bit 0 may be a name, bit 1 ends a sentence."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > LEXICON:
             self.clear()
         text = word.decode(errors="replace")
         core = _EDGE.sub("", text)

@@ -22,6 +22,8 @@ from .common import chunks, owners
 
 ORDER = 3
 UNIT = 1024
+#: Bytes of text whose code lengths are summed at once: a hundred bytes of memory go to each.
+PART = 1 << 18
 UND = "und"
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -152,7 +154,7 @@ def identify(docs: DataFrame, model: PpmModel | None) -> DataFrame:
     def run(batches):
         m = sent.value
         for batch in batches:
-            for some, data, offs in chunks(batch, "text"):
+            for some, data, offs in chunks(batch, "text", PART):
                 bits = m.lengths(*fold(data, offs)) / UNIT
                 best = bits.argmin(axis=1)
                 gap = np.minimum(bits - bits.min(axis=1, keepdims=True), 1000.0)
@@ -179,7 +181,7 @@ def kept_languages(docs: DataFrame, least: float = 0.5) -> DataFrame:
     def run(batches):
         m = sent.value
         for batch in batches:
-            for some, data, offs in chunks(batch, "text"):
+            for some, data, offs in chunks(batch, "text", PART):
                 bits = m.lengths(*fold(data, offs)) / UNIT
                 score = 1 / np.exp2(-np.minimum(bits - bits.min(axis=1, keepdims=True), 1000.0)).sum(axis=1)
                 yield some.filter(pa.array(score >= least))

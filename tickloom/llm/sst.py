@@ -31,7 +31,7 @@ BLOCK_BYTES, RESTART, BLOOM_BITS, BLOOM_HASHES = 64 << 10, 16, 10, 7
 #: A writer starts the next file at this size, so that a reader holds no more in memory.
 SHARD_BYTES = 16 << 20
 #: Distinct units that a worker keeps the ids of.
-MEMO = 800_000
+MEMO = 300_000
 
 
 def key_of(doc_id: int | None) -> bytes:
