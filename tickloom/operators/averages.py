@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from tickloom.functions.expr import abs_, atan, clamp, cos, div, exp, lit, log, mn, mx, power, sign, sq, sqrt, where
+from tickloom.functions.expr import abs_, atan, clamp, cos, div, exp, floor, lit, log, mn, mx, power, rsi_of, sign, sq, sqrt, where
 
 from .registry import EMA, SMA, WMA, average, half_even, indicator, length
 
@@ -1100,19 +1100,43 @@ def LinearExtrapolation(s, x, n=500):
     return s.let(where((xb - xa).ne(0) & (b - a).ne(0), a + div(s.i - xa, xb - xa) * (b - a), a))
 
 
-@average("Vlma")
-def VariableLengthMovingAverage(s, x, n=50, short=5, ma=SMA):
-    m = s.ma(ma, x, n)
-    dev = s.sd(m, n, ma)
+def _variable_length(s, x, most, least, ma):
+    """(average, its length): the length grows while x is near its mean and shrinks while it is far."""
+    m = s.ma(ma, x, most)
+    dev = s.sd(m, most, ma)
     near, far = s.let(dev * 0.25), s.let(dev * 1.75)
 
     def step(y, size):
-        p = s.first(n, size)
-        new = clamp(where((x >= m - near) & (x <= m + near), p + 1, where((x < m - far) | (x > m + far), p - 1, p)), n, short)
+        p = s.first(most, size)
+        new = clamp(where((x >= m - near) & (x <= m + near), p + 1, where((x < m - far) | (x > m + far), p - 1, p)), most, least)
         k = 2 / (new + 1)
         return [x * k + (1 - k) * s.first(x, y), new]
 
-    return s.scan(step, (0.0, 0.0))[0]
+    return s.scan(step, (0.0, 0.0))
+
+
+@average("Vlma")
+def VariableLengthMovingAverage(s, x, n=50, short=5, ma=SMA):
+    return _variable_length(s, x, n, short, ma)[0]
+
+
+@average("Uma")
+def UltimateMovingAverage(s, x, most=50, least=5, acc=1.0, ma=SMA):
+    """Weights fall from the newest row on by a power that money flow sets, over a variable length."""
+    y, size = _variable_length(s, s.let(x), most, least, ma)
+    size = s.let(floor(clamp(size, most, least)))
+    price = s.of("TypicalPrice", y).value
+    last, flow = s.lag(price, 1), s.let(price * s.volume)
+    up, down = (s.let(where((s.rn > 1) & test, flow, 0.0)) for test in (price > last, price < last))
+    gained, lost, num, den = lit(0.0), lit(0.0), lit(0.0), lit(0.0)
+    for j in range(most):
+        on = size > j
+        gained, lost = gained + where(on, s.lag(up, j), 0.0), lost + where(on, s.lag(down, j), 0.0)
+    strength = s.let(acc + abs_(rsi_of(s.let(gained), s.let(lost)) * 2 - 100) / 25)
+    for j in range(most):
+        w = s.let(where(size > j, power(size - j, strength), 0.0))
+        num, den = num + s.lag(s.let(x), j) * w, den + w
+    return s.let(div(num, den))
 
 
 #: Fixed values of the Hilbert filter.
