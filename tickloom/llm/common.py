@@ -315,21 +315,52 @@ def not_least(r: dict[str, np.ndarray]) -> np.ndarray:
     return out
 
 
-#: How hits travel: the document's id and text hash, and places in it.
+#: What is known of a document's hits: its id and text hash, and packed places in it.
 HITS = "k long, h long, hits binary"
+#: How hits travel from the buckets of keys to those of documents.
+SLOTS = "slot int, blob binary"
 
 
-def as_hits(r: dict[str, np.ndarray], hit: np.ndarray):
-    """The records under `hit` as rows of HITS, as pandas."""
+def as_slots(r: dict[str, np.ndarray], hit: np.ndarray, slots: int):
+    """The records under `hit` dealt by document, as rows of SLOTS, as pandas: one row a slot, not one a document."""
     import pandas as pd
 
-    doc, pos = r["doc"][hit], r["pos"][hit].astype(np.uint32)
-    order = np.lexsort((pos, doc))
+    slot = (mix(r["ids"]["id"].astype(_U) ^ mix(r["ids"]["h"].astype(_U))) % _U(slots)).astype(np.int64)
+    doc, pos = r["doc"][hit].astype(np.int64), r["pos"][hit].astype(np.int64)
+    order = np.lexsort((pos, doc, slot[doc]))
     doc, pos = doc[order], pos[order]
-    at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, dtype=np.int64)
-    end = np.append(at[1:], len(doc)).astype(np.int64)[: len(at)]
-    ids = r["ids"][doc[at]]
-    return pd.DataFrame({"k": ids["id"], "h": ids["h"], "hits": [pack(p=np.diff(pos[a:b], prepend=np.uint32(0))) for a, b in zip(at, end, strict=True)]})
+    of = slot[doc]
+    at = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, dtype=np.int64)
+    out = []
+    for a, b in zip(at, [*at[1:], len(of)], strict=False):
+        d, p = doc[a:b], pos[a:b]
+        first = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
+        step = np.diff(p, prepend=0)
+        step[first] = p[first]
+        out.append(pack(ids=r["ids"][d[first]], n=small(np.diff(np.append(first, b - a))), step=small(step)))
+    return pd.DataFrame({"slot": of[at].astype(np.int32), "blob": out})
+
+
+def by_document(slots: DataFrame) -> DataFrame:
+    """(k, h, hits), one row a document, from rows of SLOTS."""
+
+    def one(pdf):
+        import pandas as pd
+
+        ids, n, pos = [], [], []
+        for x in map(unpack, pdf["blob"]):
+            count, total = x["n"].astype(np.int64), np.cumsum(x["step"].astype(np.int64))
+            start = np.cumsum(count) - count
+            pos.append(total - np.repeat(total[start] - x["step"][start].astype(np.int64), count))
+            ids.append(x["ids"].view(ID))
+            n.append(count)
+        named, place = np.unique(np.concatenate(ids), return_inverse=True)
+        doc, pos = np.repeat(place, np.concatenate(n)), np.concatenate(pos)
+        order = np.lexsort((pos, doc))
+        pos, lim = pos[order].astype(np.uint32), np.searchsorted(doc[order], np.arange(len(named) + 1))
+        return pd.DataFrame({"k": named["id"], "h": named["h"], "hits": [pack(p=np.diff(pos[a:b], prepend=np.uint32(0))) for a, b in zip(lim[:-1], lim[1:], strict=True)]})
+
+    return slots.groupBy("slot").applyInPandas(one, HITS)
 
 
 #: In place of packed positions: every window of the document.

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB, HITS, WHOLE, among, as_hits, bucket_count, chunks, deal, exchange, id_table, marked, materialize, not_least, owners, positions, repeated, without
+from .common import BLOB, SLOTS, WHOLE, among, as_slots, bucket_count, by_document, chunks, deal, exchange, id_table, marked, materialize, not_least, owners, positions, repeated, without
 
 
 def difference_cover(p: int) -> tuple[int, np.ndarray]:
@@ -123,13 +123,14 @@ def repeated_windows(rows: DataFrame, f: Finder, units_total: int) -> DataFrame:
     own = without(rows, copies.filter("gone").select("k", "h"))
     whole = (copies.filter("gone") if f.least else copies).select("k", "h", F.lit(WHOLE).alias("hits"))
     sampled = units_total * (f.p + 1) // f.v
-    found = exchange(_anchors(own, f, bucket_count(spark, sampled)), lambda r: as_hits(r, repeated(r)), HITS)
-    found = materialize(found, release=True)
+    n = bucket_count(spark, sampled)
+    found = exchange(_anchors(own, f, n), lambda r: as_slots(r, repeated(r), n), SLOTS)
+    found = materialize(by_document(found), release=True)
     some = among(own, found, "k").join(_collected(found), ["k", "h"])
     decide = not_least if f.least else repeated
     # what stays is less than all units; buckets for a quarter of them are small enough if all stayed
-    n = bucket_count(spark, units_total // 4)
-    windows = materialize(exchange(_candidates(some, f, n), lambda r: as_hits(r, decide(r)), HITS), release=True)
+    m = bucket_count(spark, units_total // 4)
+    windows = materialize(by_document(exchange(_candidates(some, f, m), lambda r: as_slots(r, decide(r), m), SLOTS)), release=True)
     return windows.union(whole)
 
 
