@@ -222,6 +222,21 @@ def small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
 
 
+def steps(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Records in order of document and position as (documents, records of each, step from one position to the next)."""
+    first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, dtype=np.int64)
+    step = np.diff(pos.astype(np.int64), prepend=0)
+    step[first] = pos[first]
+    return doc[first], small(np.diff(np.append(first, len(doc)))), small(step)
+
+
+def places(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the document, position) of the records that steps() packed."""
+    count, step = x["n"].astype(np.int64), x["step"].astype(np.int64)
+    total, start = np.cumsum(step), np.cumsum(count) - count
+    return np.repeat(np.arange(len(count)), count), total - np.repeat(total[start] - step[start], count)
+
+
 def deal(keys: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, buckets: int, least: bool = False, keep: bool = False, short: bool = False) -> pa.RecordBatch:
     """Records of a task as (bucket, blob) rows; doc indexes ids, a structured array of (id, h).
 
@@ -259,15 +274,16 @@ def deal(keys: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, bu
             continue
         lim = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
         for x, y in zip(lim, np.append(lim[1:], len(b)).astype(np.int64), strict=True):
-            part = at[x:y]
-            used, d = np.unique(doc[part], return_inverse=True)
+            q = np.argsort(doc[at[x:y]], kind="stable")
+            part = at[x:y][q]
+            used, n, step = steps(doc[part], pos[part])
             name = "key" if flag is not None else "known"
             own = ({f"{name}_low": keys[part].astype(np.uint32), f"{name}_high": (keys[part] >> _U(32)).astype(np.uint8), "bucket": np.array([b[x]], dtype=_U)} if short else {name: keys[part]}) if flag is not None or keep else {}
-            if short and flag is None:  # they are dealt by document, so their own bucket travels too
+            if short and keep and flag is None:  # they are dealt by document, so their own bucket travels too
                 own["bucket"] = small(keys[part] % _U(buckets))
-            own |= {"more": np.packbits(flag[o[x:y]])} if flag is not None else {}
+            own |= {"more": np.packbits(flag[o[x:y]][q])} if flag is not None else {}
             rows_b.append(int(b[x]))
-            rows.append(pack(ids=ids[used], doc=small(d), pos=pos[part].astype(np.uint32), **own))
+            rows.append(pack(ids=ids[used], n=n, step=step, **own))
     return pa.RecordBatch.from_arrays([pa.array(rows_b, pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "blob"])
 
 
@@ -279,10 +295,11 @@ def gathered(blobs) -> dict[str, np.ndarray]:
         for name in ("key", "known"):
             if f"{name}_low" in x:
                 x[name] = x[f"{name}_low"].astype(_U) | x[f"{name}_high"].astype(_U) << _U(32) | x["bucket"].astype(_U) << _U(40)
-        n, done = len(x["pos"]), "key" not in x
+        doc, pos = places(x)
+        n, done = len(pos), "key" not in x
         cols["key"].append(x["key"] if not done else x.get("known", np.zeros(n, dtype=_U)))
-        cols["doc"].append(x["doc"].astype(np.int32) + np.int32(at))
-        cols["pos"].append(x["pos"])
+        cols["doc"].append(doc.astype(np.int32) + np.int32(at))
+        cols["pos"].append(pos.astype(np.uint32))
         cols["more"].append(np.ones(n, dtype=bool) if done else np.unpackbits(x["more"], count=n).astype(bool))
         cols["done"].append(np.full(n, done))
         cols["ids"].append(x["ids"].view(ID))
@@ -333,11 +350,8 @@ def as_slots(r: dict[str, np.ndarray], hit: np.ndarray, slots: int):
     at = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, dtype=np.int64)
     out = []
     for a, b in zip(at, [*at[1:], len(of)], strict=False):
-        d, p = doc[a:b], pos[a:b]
-        first = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
-        step = np.diff(p, prepend=0)
-        step[first] = p[first]
-        out.append(pack(ids=r["ids"][d[first]], n=small(np.diff(np.append(first, b - a))), step=small(step)))
+        used, n, step = steps(doc[a:b], pos[a:b])
+        out.append(pack(ids=r["ids"][used], n=n, step=step))
     return pd.DataFrame({"slot": of[at].astype(np.int32), "blob": out})
 
 
@@ -347,17 +361,15 @@ def by_document(slots: DataFrame) -> DataFrame:
     def one(pdf):
         import pandas as pd
 
-        ids, n, pos = [], [], []
+        ids, pos = [], []
         for x in map(unpack, pdf["blob"]):
-            count, total = x["n"].astype(np.int64), np.cumsum(x["step"].astype(np.int64))
-            start = np.cumsum(count) - count
-            pos.append(total - np.repeat(total[start] - x["step"][start].astype(np.int64), count))
-            ids.append(x["ids"].view(ID))
-            n.append(count)
+            doc, p = places(x)
+            ids.append(x["ids"].view(ID)[doc])
+            pos.append(p)
         named, place = np.unique(np.concatenate(ids), return_inverse=True)
-        doc, pos = np.repeat(place, np.concatenate(n)), np.concatenate(pos)
-        order = np.lexsort((pos, doc))
-        pos, lim = pos[order].astype(np.uint32), np.searchsorted(doc[order], np.arange(len(named) + 1))
+        pos = np.concatenate(pos)
+        order = np.lexsort((pos, place))
+        pos, lim = pos[order].astype(np.uint32), np.searchsorted(place[order], np.arange(len(named) + 1))
         return pd.DataFrame({"k": named["id"], "h": named["h"], "hits": [pack(p=np.diff(pos[a:b], prepend=np.uint32(0))) for a, b in zip(lim[:-1], lim[1:], strict=True)]})
 
     return slots.groupBy("slot").applyInPandas(one, HITS)

@@ -86,7 +86,7 @@ def _anchors(rows: DataFrame, f: Finder, buckets: int) -> DataFrame:
                 own = owners(offs)
                 place = np.arange(offs[-1]) - offs[own]
                 at = np.flatnonzero(f.residue[place % f.v] & (place + f.anchor <= np.diff(offs)[own]))
-                yield deal(name(at, f.anchor), own[at], place[at], id_table(some), buckets)
+                yield deal(name(at, f.anchor), own[at], place[at], id_table(some), buckets, short=True)  # the second pass decides
 
     return rows.select("k", "h", "text").mapInArrow(run, BLOB)
 
