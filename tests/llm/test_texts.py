@@ -162,3 +162,22 @@ def test_decontamination(spark):
     assert {r.doc_id for r in decontam.clean(docs, bench).collect()} == {2, 3, 4, 5}
     assert decontam.contaminated(docs, bench.limit(0)).collect() == []
     assert decontam.contaminated(frame(spark, []), bench).collect() == []
+
+
+def test_decontamination_of_short_items(spark):
+    import random
+
+    rnd = random.Random(4)
+    lower = "which old bridge carries the water over that river when morning comes again slowly".split()
+    items = [" ".join(["Question", *lower[: n - 1]]) for n in range(3, 15)]
+    items += [" ".join(lower[3 : 3 + n]) for n in range(3, 8)]
+    items += ["Question 5 What is the name of that old river ?", "Maria 12 15 Peter 18 27 Susan 33", "7 8 9 10", "3 + 4 = 7", "Paul saw Anna"]
+    around = lambda t: f"{prose(rnd, 20)} {t} {prose(rnd, 20)}"
+    data = [(i, around(t), *[None] * 6) for i, t in enumerate(items)]
+    data += [(100, around("Answer 6 What is the name of that old river ?"), *[None] * 6)]  # the first word as a name
+    data += [(101, around("Maria 12 15 Peter 18 27 Susan 34"), *[None] * 6), (102, around("7 8 9 11"), *[None] * 6)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(frame(spark, data), bench).collect()}
+    assert {(i, i) for i in range(len(items))} <= got
+    assert {i for d, i in got if d == 100} == {items.index("Question 5 What is the name of that old river ?")}
+    assert not {d for d, _ in got} & {101, 102}
