@@ -63,6 +63,21 @@ def test_ngram_jaccard_large_group_and_borderline(spark):
     assert found(ngram_jaccard.linked(frame(spark, data))) == jaccard_by_hand(data)
 
 
+def test_ngram_jaccard_counts_all_links(spark, monkeypatch):
+    rnd = random.Random(5)
+    base, data = prose(rnd, 64).split(), rows()
+    for i in range(90):
+        w = list(base)
+        for _ in range(i % 4):
+            w[rnd.randrange(64)] = f"n{rnd.randrange(10**6)}"
+        data.append((6000 + i, " ".join(w), None, None, None, None, None, None))
+    sets = [(r[0], shingle_set(r[1])) for r in data]
+    hand = {i: sum(j != i and bool(x & y) and 100 * len(x & y) >= 80 * len(x | y) for j, y in sets) for i, x in sets}
+    for classes in (ngram_jaccard.LINK_CLASSES, 20):  # in one block, and in several
+        monkeypatch.setattr(ngram_jaccard, "LINK_CLASSES", classes)
+        assert {r.doc_id: r.n_links for r in ngram_jaccard.linked(frame(spark, data)).collect()} == hand
+
+
 def test_one_of_each_keeps_smallest_ids(spark):
     data = rows()
     kept = {r.doc_id for r in ngram_jaccard.one_of_each(frame(spark, data)).collect()}

@@ -11,8 +11,9 @@ difference touches (pigeonhole). Documents of a band, and those of the band belo
 Candidates of a segment are compared in stars first: its smallest id against all others. Links found by exact
 verification form components. What is left are pairs of one segment in different components: pairs of small
 groups meet in a join, and groups beyond SMALL members are compared in blocks by narrow sketches, whose
-Hamming distance throws out pairs before they are made. So no link between documents is lost, and no group
-is expanded into all its pairs.
+Hamming distance throws out pairs before they are made. So no two documents that links connect stay apart, though
+not every link is verified for that. The number of links comes last: a component's classes of equal sets are
+compared in full, in blocks, by products of incidence matrices of the shingles that two blocks share.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB, among, bucket_count, chunks, deal, exchange, id_table, marked, materialize, mix, owners, repeated, without, words
+from .common import BLOB, among, bucket_count, chunks, deal, exchange, id_table, marked, materialize, mix, owners, pack, repeated, unpack, without, words
 from .components import components
 from .windows import NULLS, keyed
 
@@ -32,6 +33,8 @@ RATIO = 1.25
 #: Members of a segment up to which its pairs meet in a join; ids of a block beyond; bits of a narrow sketch.
 SMALL, BLOCK = 24, 128
 SKETCH_BITS = 2048
+#: Classes and shingles of a block of a component, on average; shared shingles whose incidence is multiplied at a time.
+LINK_CLASSES, LINK_SHINGLES, SLAB = 512, 500_000, 2048
 
 _M = np.uint64(0x9FB21C651E98DF25)
 
@@ -242,19 +245,89 @@ def _block_pairs(large: DataFrame, prints: DataFrame) -> DataFrame:
     return meets.mapInArrow(run, "a long, b long")
 
 
-def linked(docs: DataFrame) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, and n_links (verified links of the set's class).
+SETS = "component long, own long, blocks long, sets binary"
+
+
+def similar(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> np.ndarray:
+    """Which sets of x are similar to which of y, from their distinct shingles v and counts n."""
+    both = np.intersect1d(x["v"], y["v"])
+    common = np.zeros((len(x["n"]), len(y["n"])), dtype=np.float32)
+    at = []
+    for side in (x, y):
+        place = np.minimum(np.searchsorted(both, side["v"]), max(0, len(both) - 1))
+        on = both[place] == side["v"] if len(both) else np.zeros(len(place), dtype=bool)
+        row, column = np.repeat(np.arange(len(side["n"])), side["n"])[on], place[on]
+        order = np.argsort(column, kind="stable")
+        at.append((row[order], column[order]))
+    for c in range(0, len(both), SLAB):
+        width, parts = min(SLAB, len(both) - c), []
+        for side, (row, column) in zip((x, y), at, strict=True):
+            lo, hi = np.searchsorted(column, (c, c + width))
+            m = np.zeros((len(side["n"]), width), dtype=np.float32)
+            m[row[lo:hi], column[lo:hi] - c] = 1
+            parts.append(m)
+        common += parts[0] @ parts[1].T
+    common = common.astype(np.int64)
+    return (common > 0) & (DEN * common >= NUM * (x["n"][:, None] + y["n"][None, :] - common))
+
+
+def link_counts(classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(rep, rep_h, others): rows whose sets are similar to a class's and not equal, from (component, rep, rep_h, n_shingles, weight).
+
+    A component of many classes is cut into blocks, each of which meets each other once.
+    """
+    sizes = classes.groupBy("component").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("all")).filter("members > 1")
+    blocks = F.ceil(F.greatest(F.col("members") / LINK_CLASSES, F.col("all") / LINK_SHINGLES)).cast("long")
+    placed = classes.join(sizes, "component").withColumn("blocks", blocks).select(F.col("rep").alias("k"), F.col("rep_h").alias("h"), "component", "weight", "blocks")
+    placed = materialize(placed.withColumn("own", F.pmod(F.xxhash64("k", "h"), F.col("blocks"))))
+    texts = among(rows, placed, "k").select("k", "h", "text").join(placed, ["k", "h"])
+    packed = texts.groupBy("component", "own", "blocks").agg(F.collect_set(F.struct("k", "h", "weight", "text")).alias("m"))
+
+    def sets(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                m = r["m"]
+                raw = [e["text"].encode() for e in m]
+                v, offs = shingles(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))
+                blob = pack(v=v, n=np.diff(offs).astype(np.int64), **{c: np.array([e[c] for e in m], dtype=np.int64) for c in ("k", "h", "weight")})
+                yield pa.RecordBatch.from_arrays([*(pa.array([r[c]]) for c in ("component", "own", "blocks")), pa.array([blob], pa.binary())], names=["component", "own", "blocks", "sets"])
+
+    def run(batches):
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [])
+            for bx, by in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = unpack(bx)
+                y = x if by is None else unpack(by)
+                ok = similar(x, y)
+                if by is None:
+                    np.fill_diagonal(ok, False)
+                for side, n in ((x, ok @ y["weight"]), (y, x["weight"] @ ok))[: 1 if by is None else 2]:
+                    for c, v in zip(out, (side["k"], side["h"], n), strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, dtype=np.int64)) for c in out], names=["rep", "rep_h", "others"])
+
+    packed = materialize(packed.mapInArrow(sets, SETS), release=True)
+    left = packed.filter("own + 1 < blocks").select("component", F.explode(F.sequence(F.col("own") + 1, F.col("blocks") - 1)).alias("own"), F.col("sets").alias("x"))
+    meets = left.join(packed.select("component", "own", F.col("sets").alias("y")), ["component", "own"]).select("x", "y")
+    meets = packed.select(F.col("sets").alias("x"), F.lit(None).cast("binary").alias("y")).union(meets)
+    return meets.mapInArrow(run, "rep long, rep_h long, others long").groupBy("rep", "rep_h").agg(F.sum("others").alias("others"))
+
+
+def linked(docs: DataFrame, counted: bool = True) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, and n_links (how many other rows it links with).
 
     Links join documents whose sets of lower-cased (A-Z) five-word shingles have 80 % or more in common; a text
     of fewer words is one shingle. component_id is the smallest doc_id that links reach. Texts without words
     (null too) link with nothing. Equal sets form a class, of which one document takes part in the join.
     Null ids are larger than any other, and come out as null; rows with the same id are one document with
-    several texts: their links add up.
+    several texts, which joins what they link with. n_links is counted for each row, equal rows included, and
+    only if `counted`.
     """
     rows = keyed(docs)
     prints = materialize(fingerprints(rows))
-    classes = prints.filter("n_shingles > 0").groupBy("n_shingles", "x", "y").agg(F.min("k").alias("rep"))
-    members = materialize(prints.join(classes, ["n_shingles", "x", "y"], "left").select("k", "h", "doc_id", "n_shingles", "rep"))
+    classes = prints.filter("n_shingles > 0").groupBy("n_shingles", "x", "y").agg(F.min(F.struct("k", "h")).alias("r"), F.count("*").alias("weight"))
+    classes = classes.select("n_shingles", "x", "y", F.col("r.k").alias("rep"), F.col("r.h").alias("rep_h"), "weight")
+    members = materialize(prints.join(classes, ["n_shingles", "x", "y"], "left").select("k", "h", "doc_id", "n_shingles", "rep", "rep_h", "weight"))
     total, most = members.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.coalesce(F.max("n_shingles"), F.lit(0))).first()
     # only one document of each class goes on; texts of the others are told apart by a filter, then exactly
     gone = materialize(members.filter("rep is null or k != rep").select("k", "h"))
@@ -274,12 +347,22 @@ def linked(docs: DataFrame) -> DataFrame:
     pairs = small.select("key", F.col("k").alias("a"), F.col("component").alias("ca")).join(other, "key").filter("a < b and ca != cb").select("a", "b")
     pairs = pairs.distinct().union(_block_pairs(left.filter(F.col("size") > SMALL), lone)).distinct().join(star, ["a", "b"], "left_anti")
     more = materialize(verified(materialize(near(pairs, lone), release=True), rows), release=True)
-    every = links.union(more)
-    found = components(every)
-    degree = every.select("a").union(every.select("b")).groupBy("a").agg(F.count("*").alias("n_links")).withColumnRenamed("a", "rep")
-    out = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
+    found = materialize(components(links.union(more)).withColumnRenamed("id", "rep"))
+    component = F.coalesce("component", "rep")
+    out = members.join(found, "rep", "left")
+    if not counted:
+        return out.select("doc_id", *_placed())
+    # similar classes are always of one component, so its pairs are all that can link
+    one = members.filter("rep is not null").select("rep", "rep_h", "n_shingles", "weight").distinct()
+    one = one.join(found, "rep", "left").withColumn("component", component)
+    others = link_counts(one, rows)
+    n_links = F.coalesce("others", F.lit(0)) + F.coalesce(F.col("weight") - 1, F.lit(0))
+    return out.join(others, ["rep", "rep_h"], "left").select("doc_id", *_placed(), n_links.cast("long").alias("n_links"))
+
+
+def _placed():
     smallest = F.coalesce("component", "rep", "doc_id")
-    return out.select("doc_id", "n_shingles", F.when(smallest < NULLS, smallest).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return "n_shingles", F.when(smallest < NULLS, smallest).alias("component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -287,7 +370,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows without an id stay, as no id says which of them to drop.
     """
-    gone = materialize(linked(docs).filter("doc_id != component_id").select("doc_id"))
+    gone = materialize(linked(docs, counted=False).filter("doc_id != component_id").select("doc_id"))
     # a null id has no place in the bitmap; its row stays
     rest = marked(docs, gone).filter("not _in or doc_id is null").drop("_in")
     return rest.unionByName(among(docs, gone).filter("doc_id is not null").join(gone, "doc_id", "left_anti").select(*docs.columns))
