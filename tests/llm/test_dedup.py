@@ -7,9 +7,10 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 
-from tickloom.llm import anchors, ngram_jaccard, suffixes
+from tickloom.llm import anchors, common, ngram_jaccard, suffixes
 
 from .corpora import frame, prose, rows
 
@@ -84,6 +85,11 @@ def test_one_of_each_keeps_smallest_ids(spark):
     assert kept == {i for i, _, c in jaccard_by_hand(data) if i == c}
 
 
+def test_repeated_looks_past_done_records():
+    r = {"key": np.array([7, 7, 7, 9, 7], dtype=np.uint64), "done": np.array([False, True, False, False, True]), "more": np.array([True, True, False, False, True])}
+    assert common.repeated(r).tolist() == [True, True, True, False, True]
+
+
 def repeats_by_hand(data, width=400):
     raw = {r[0]: (r[1] or "").encode() for r in data}
     seen: dict[bytes, int] = {}

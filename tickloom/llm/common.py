@@ -309,10 +309,11 @@ def gathered(blobs) -> dict[str, np.ndarray]:
 
 def repeated(r: dict[str, np.ndarray]) -> np.ndarray:
     """Which records have a key that another record has too."""
-    order = np.argsort(r["key"], kind="stable")
+    order = np.flatnonzero(~r["done"])  # those may lie between two others of their key
+    order = order[np.argsort(r["key"][order], kind="stable")]
     k = r["key"][order]
-    same = (k[1:] == k[:-1]) & ~r["done"][order[1:]] & ~r["done"][order[:-1]]
-    out = np.zeros(len(k), dtype=bool)
+    same = k[1:] == k[:-1]
+    out = np.zeros(len(r["key"]), dtype=bool)
     out[order[1:][same]] = True
     out[order[:-1][same]] = True
     return out | r["more"]
