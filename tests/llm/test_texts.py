@@ -90,6 +90,14 @@ def test_secrets_equal_regular_expressions(spark):
     assert secrets.scan(frame(spark, [])).collect() == []
 
 
+def test_secrets_are_judged_by_owners_and_repositories(spark):
+    value = lambda i: f"Ab{i}" + "xY7" * 8
+    owners = (["o"] * (secrets.MANY_REPOS - 1), ["o"] * secrets.MANY_REPOS, ["o", "p"], ["o", "p", "q"], ["o"])
+    data = [(100 * i + j, f"see {value(i)} there", None, o, *[None] * 4) for i, x in enumerate(owners) for j, o in enumerate(x)]
+    got = {(r.doc_id // 100, r.spans != "", r.n_live, r.n_example) for r in secrets.scan(frame(spark, data)).collect()}
+    assert got == {(0, True, 1, 0), (1, False, 0, 1), (2, True, 0, 0), (3, False, 0, 1), (4, True, 1, 0)}
+
+
 def quality_by_hand(text):
     w, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
     at: dict = {}

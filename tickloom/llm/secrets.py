@@ -3,8 +3,8 @@
 Base kinds: `assign` (a keyword, a sign and a value of 8 or more characters), `access` (AKIA keys of 16 or
 more) and `hex` (32 or more hexadecimal digits). The method adds `bare`: strings of 24 or more characters
 that mix digits with letters of both cases. The values of all candidates are hashed and counted over the
-whole corpus by distinct repositories and owners: one that many owners copied is an example, one that a
-single owner has looks live. Bare strings that several owners share are no secret, and make no span.
+whole corpus by distinct repositories and owners: one that many owners or many repositories have is an
+example, any other that a single owner has looks live. Bare strings that are examples make no span.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ BARE = ("bare", r"[A-Za-z0-9+/_-]{24,}", 0, 24)
 _NEEDS = {"assign": KINDS[0][1], "access": r"AKIA[A-Z0-9]{12}", "hex": r"[0-9a-f]{32}", "bare": r"[A-Za-z0-9+/_-]{24}"}
 #: Owners from which on a value counts as a widely copied example.
 MANY_OWNERS = 3
+#: Repositories, of all owners together, from which on it does.
+MANY_REPOS = 10
 
 _SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 
@@ -64,8 +66,9 @@ def _listed(items: Column) -> Column:
 def scan(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example.
 
-    Null texts have no spans; null owners are one owner. Repeated rows give repeated rows. n_live counts
-    spans whose value one owner has alone, n_example those with MANY_OWNERS owners or more.
+    Null texts have no spans; null owners are one owner, null repositories one repository of their owner.
+    Repeated rows give repeated rows. n_example counts spans whose value MANY_OWNERS owners or MANY_REPOS
+    repositories have, n_live the others whose value one owner has alone.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(repo_col).cast("string").alias("repo"), F.coalesce(F.col(owner_col), F.lit("\x00")).alias("owner"), text.alias("text"))
@@ -77,14 +80,17 @@ def scan(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source", t
     values = F.array_distinct(F.transform(F.concat("base", "bare"), lambda s: F.sha2(s["value"], 256)))
     each = some.select("row", "repo", "owner", F.explode(values).alias("value")).distinct()
     # one row for each value and owner first, so a value that a third of all rows copy is summed in its map tasks
-    stats = each.groupBy("value", "owner").agg(F.approx_count_distinct("repo").alias("repos")).groupBy("value").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
+    owned = each.select("value", "owner", "repo").distinct().groupBy("value", "owner").agg(F.count("*").alias("repos"))
+    stats = owned.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
+    example = (F.col("owners") >= MANY_OWNERS) | (F.col("repos") >= MANY_REPOS)
     judged = each.select("row", "value").join(stats, "value").groupBy("row").agg(
-        F.collect_set(F.when(F.col("owners") == 1, F.col("value"))).alias("single"),
-        F.collect_set(F.when(F.col("owners") >= MANY_OWNERS, F.col("value"))).alias("example"),
+        F.collect_set(F.when((F.col("owners") == 1) & ~example, F.col("value"))).alias("single"),
+        F.collect_set(F.when(example, F.col("value"))).alias("example"),
     )
     has = lambda name: lambda s: F.array_contains(name, F.sha2(s["value"], 256))
+    hidden = lambda s: ~has("example")(s)
     with_spans = some.join(judged, "row").select(
-        "doc_id", "base", F.concat("base", F.filter("bare", has("single"))).alias("all"),
+        "doc_id", "base", F.concat("base", F.filter("bare", hidden)).alias("all"),
         F.size(F.filter(F.concat("base", "bare"), has("single"))).cast("long").alias("n_live"),
         F.size(F.filter(F.concat("base", "bare"), has("example"))).cast("long").alias("n_example"),
     )
