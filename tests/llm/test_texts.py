@@ -48,6 +48,21 @@ def test_mix(spark):
     assert mixing.mix(frame(spark, [])).collect() == []
 
 
+def test_mix_of_small_sources(spark):
+    few = {"a": 10, "c": 20, "e": 100, "g": 300, "i": 1000}
+    data = [(i, "w " * n, None, source, *[None] * 4) for i, (source, n) in enumerate(few.items())]
+    data += [(100 + i, "w " * 50_000, None, ("b", "d")[i % 2], *[None] * 4) for i in range(40)]
+    taken: dict = {}
+    target = {}
+    for r in mixing.mix(frame(spark, data)).collect():
+        assert 0 <= r.taken <= 3 * r["size"]
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        target[r.source] = r.target
+    assert set(target) == {*few, "b", "d"}
+    for source, t in target.items():
+        assert taken[source] == pytest.approx(t, rel=0.02)
+
+
 def test_language_id(spark):
     import random
 

@@ -1,10 +1,12 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 Slot i of the schedule has the point frac((i + 1) / golden ratio). The source whose share of the cumulative
-targets holds the point owns the slot; the slots of a source are ranked; and slot of rank r takes block
+draws holds the point owns the slot; the slots of a source are ranked; and slot of rank r takes block
 r modulo the source's number of blocks. Blocks are equal stretches of words of the source's documents, laid
-in an order shuffled by hash. Golden-ratio points are spread so evenly that each source gets its share of any
-stretch of the schedule to within a few slots.
+in an order shuffled by hash; a small source has smaller ones, and its draws are as many as its target asks.
+Golden-ratio points are spread so evenly that each source gets its share of any stretch of the schedule to
+within a few slots. At the end each source's ranks are filled up or cut to its draws, and its last one to the
+words that its target leaves, so that every source takes its target to the word.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from .common import SPACE, materialize
 WEIGHTS, REPEATS = (5.0, 2.0, 1.0), 3
 #: Blocks of an average source, as far as blocks of MOST_WORDS allow; cells of the point-to-source join.
 BLOCKS, MOST_WORDS, CELLS = 4096, 1024, 1024
+#: Blocks of a small source at least, as far as it has words.
+LEAST_BLOCKS = 64
 GOLDEN = 0.6180339887498949
 
 
@@ -66,6 +70,17 @@ def schedule(targets: DataFrame, slots: int) -> DataFrame:
     return inside.join(before, ["sid", "chunk"]).select("slot", "sid", (F.col("before") + F.col("place")).alias("rank"))
 
 
+def draws(targets: DataFrame, most: int, repeats: int) -> DataFrame:
+    """(sid, block, blocks, full, cut, target) of sources with words: words of a block, blocks, whole draws, words of one
+    more, and all draws, as the schedule's target."""
+    goal = F.least(F.floor(F.col("target") + 0.5).cast("long"), F.col("source_size") * repeats)
+    by = targets.filter("source_size > 0").select("sid", "source_size", goal.alias("goal"))
+    by = by.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.col("source_size") / LEAST_BLOCKS))).cast("long"))
+    by = by.withColumn("blocks", F.expr("(source_size + block - 1) div block")).withColumn("rest", F.col("goal") % F.col("source_size"))
+    by = by.withColumn("full", F.expr("goal div source_size * blocks + rest div block")).withColumn("cut", F.col("rest") % F.col("block"))
+    return by.select("sid", "block", "blocks", "full", "cut", (F.col("full") + (F.col("cut") > 0).cast("long")).alias("target"))
+
+
 def lay_out(sizes: DataFrame, n_docs: int, seed: str) -> DataFrame:
     """Adds `at`, the words of the source before the document in shuffled order.
 
@@ -86,20 +101,31 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = RE
     """One row per input row: doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted).
 
     Null sources are a source of their own, sorted last; null texts have size 0. Rows without words are never
-    taken. Repeated rows are documents of their own, which share a place in the shuffle. No block is used more
-    than `repeats` times, so no document is taken more often. An empty table gives an empty result.
+    taken. Repeated rows are documents of their own, which share a place in the shuffle. A source takes its target,
+    to the nearest word. No block is used more than `repeats` times, so no document is taken more often. An empty table gives an empty result.
     """
     sizes = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *extra))
     targets = materialize(source_targets(sizes, weights, repeats))
     total, n, n_sources = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*"), F.countDistinct("source")).first()
     block = max(1, min(MOST_WORDS, total // (BLOCKS * max(1, n_sources))))
+    plan = materialize(draws(targets, block, repeats))
     known = sizes.join(targets.select("sid", F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     laid = materialize(lay_out(known, n, seed))
-    slots = schedule(targets, -(-total // block)).join(targets.select("sid", F.ceil(F.col("source_size") / block).alias("blocks")), "sid").filter(F.col("rank") < F.col("blocks") * repeats)
-    uses = slots.groupBy("sid", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count("*").alias("uses"))
+    n_slots = plan.agg(F.coalesce(F.sum("target"), F.lit(0))).first()[0]
+    ranks = materialize(schedule(plan, n_slots).select("sid", "rank"))
+    got = ranks.groupBy("sid").agg(F.count("*").alias("got"))
+    short = plan.join(got, "sid", "left").withColumn("got", F.coalesce("got", F.lit(0))).filter("got < target")
+    ranks = ranks.unionByName(short.select("sid", F.explode(F.sequence("got", F.col("target") - 1)).alias("rank")))
+    slots = ranks.join(plan, "sid").filter("rank < target")
+    uses = slots.groupBy("sid", (F.col("rank") % F.col("blocks")).alias("block")).agg(
+        F.sum((F.col("rank") < F.col("full")).cast("long")).alias("uses"), F.max(F.when(F.col("rank") == F.col("full"), F.col("cut")).otherwise(0)).alias("cut")
+    )
     end = F.col("at") + F.col("size")
-    pieces = laid.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((end - 1) / block))))
-    words = F.least(end, (F.col("block") + 1) * block) - F.greatest("at", F.col("block") * block)
+    pieces = laid.filter("size > 0").join(plan.select("sid", F.col("block").alias("each")), "sid")
+    pieces = pieces.withColumn("block", F.explode(F.sequence(F.expr("at div each"), F.expr("(at + size - 1) div each"))))
+    start = F.col("block") * F.col("each")
+    upto = lambda limit: F.greatest(F.lit(0), F.least(end, limit) - F.greatest("at", start))
+    words = upto(start + F.col("each")) * F.col("uses") + upto(start + F.col("cut"))
     row = ["sid", "cell", "place"]
-    taken = pieces.withColumn("words", words).join(uses, ["sid", "block"]).groupBy(row).agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
+    taken = pieces.join(uses, ["sid", "block"]).groupBy(row).agg(F.sum(words).alias("taken"))
     return laid.join(taken, row, "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *extra)
