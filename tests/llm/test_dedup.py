@@ -86,7 +86,7 @@ def test_one_of_each_keeps_smallest_ids(spark):
 
 
 def test_repeated_looks_past_done_records():
-    r = {"key": np.array([7, 7, 7, 9, 7], dtype=np.uint64), "done": np.array([False, True, False, False, True]), "more": np.array([True, True, False, False, True])}
+    r = {"key": np.array([7, 7, 7, 9, 7], dtype=np.uint64), "done": np.array([False, True, False, False, True]), "more": np.array([True, True, False, False, True]), "check": np.zeros(5, dtype=np.uint32)}
     assert common.repeated(r).tolist() == [True, True, True, False, True]
 
 
@@ -137,6 +137,22 @@ def test_anchor_dedup_equals_brute_force(spark):
     assert {tuple(r) for r in anchors.removal_digest(frame(spark, data)).collect()} == passages_by_hand(data)
 
 
+def thue_morse(n, a, b):
+    return [b if bin(i).count("1") % 2 else a for i in range(n)]
+
+
+def test_texts_that_collide_in_polynomial_hashes_differ(spark):
+    data = []
+    for n in (1024, 2048):  # as one word, and as words of which windows differ in their first one alone
+        x, y = thue_morse(n, "a", "b"), thue_morse(n, "b", "a")
+        data += ["".join(x), "".join(y), " ".join(x), " ".join(y)]
+        data += [" ".join(["".join(w), *prose(random.Random(n), 49).split()]) for w in (x, y)]
+    data = [(i, t, *[None] * 6) for i, t in enumerate(data)]
+    assert found(ngram_jaccard.linked(frame(spark, data))) == jaccard_by_hand(data)
+    assert {tuple(r) for r in anchors.removal_digest(frame(spark, data)).collect()} == passages_by_hand(data)
+    assert {tuple(r) for r in suffixes.removal_digest(frame(spark, data)).collect()} == repeats_by_hand(data)
+
+
 @pytest.mark.parametrize("op", [ngram_jaccard.linked, suffixes.removal_digest, anchors.removal_digest])
 def test_empty_table(spark, op):
     assert op(frame(spark, [])).collect() == []

@@ -1,17 +1,18 @@
 """Substring deduplication with difference-cover anchors, on words.
 
 Windows of WIDTH words that start in a document with a smaller id are removed; see windows.py for the
-anchors. A word window is named by a hash of its words' hashes.
+anchors. A word window is named by a hash of its words' hashes, of 72 bits and those of its bucket.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prefix_hash, span_hash, words
+from .common import stretches, words
 from .windows import Finder, covered, digest, keyed, repeated_windows, with_windows
 
 WIDTH = 50
@@ -19,8 +20,7 @@ WIDTH = 50
 
 def _word_units(data, offs):
     h, _, _, offs = words(data, offs)
-    c = prefix_hash(h)
-    return (lambda at, n: span_hash(c, at, at + n)), offs
+    return partial(stretches, h), offs
 
 
 #: Period 31 of 6 members: anchors of 20 words at a fifth of all places.

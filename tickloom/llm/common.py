@@ -7,9 +7,10 @@ Arrow string buffers, so no Python object is made for a word.
 from __future__ import annotations
 
 import os
+import struct
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +33,12 @@ _RI = pow(_R, -1, 1 << 64)
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that all executors share (spark.checkpoint.dir).
 
-    Only where the session names none, as in tests, a local one is taken.
+    Only where the session names none and runs on one machine, as in tests, a local one is taken.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "tickloom-checkpoints")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tickloom-{uuid.uuid4().hex}"
@@ -79,10 +82,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """df as a side of a join that grows with the corpus: it is joined by shuffle at every size, never broadcast."""
+    return df.hint("merge")
+
+
 def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
     """rows(k, h, ...) less the pairs in gone(k, h); only texts whose id may be among them are shuffled."""
     rest = marked(rows, gone, "k").filter("not _in").drop("_in")
-    return rest.unionByName(among(rows, gone, "k").join(gone, ["k", "h"], "left_anti").select(*rows.columns))
+    return rest.unionByName(among(rows, gone, "k").join(grown(gone), ["k", "h"], "left_anti").select(*rows.columns))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -116,9 +124,13 @@ def powers(n: int, base: int = _R) -> np.ndarray:
     return have[:n]
 
 
-_BYTE = mix(np.arange(1, 257, dtype=_U) * _U(_R))
-_LOWER = _BYTE.copy()
-_LOWER[65:91] = _BYTE[97:123]
+#: Hashes of a byte at each of 64 places of a word; words that are longer go through them again, salted.
+_PLACES = 64
+_TABLE = mix(np.arange(1, 256 * _PLACES + 1, dtype=_U) * _U(_R))
+_BYTE = _TABLE[:256]
+_LOWER = _TABLE.reshape(_PLACES, 256).copy()
+_LOWER[:, 65:91] = _LOWER[:, 97:123]
+_LOWER = _LOWER.ravel()
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -130,6 +142,28 @@ def prefix_hash(values: np.ndarray) -> np.ndarray:
     return out
 
 
+_A, _B = _U(0xD6E8FEB86659FD93), _U(0xA3B195354A39B70D)
+
+
+def _triple(x: np.ndarray, y: np.ndarray, z: np.ndarray, other: bool = False) -> np.ndarray:
+    a, b = (_B, _A) if other else (_A, _B)
+    return mix(mix(x * a + y) * b + z)
+
+
+def stretches(units: np.ndarray, at: np.ndarray, n: int, wide: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Names of the stretches of n units from the places `at`, and 32 bits more of each if `wide`.
+
+    A name of 3**(k + 1) units is made of three names of 3**k, and the last one of three that overlap. Every step
+    is mixed, so no algebra of the units carries over to the names.
+    """
+    names, size = units, 1
+    while size * 3 <= n:
+        names = _triple(names[: len(names) - 2 * size], names[size : len(names) - size], names[2 * size :])
+        size *= 3
+    parts = (names[at], names[at + (n - size) // 2], names[at + n - size])
+    return _triple(*parts), (_triple(*parts, other=True) >> _U(32)).astype(np.uint32) if wide else None
+
+
 def span_hash(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A hash of values[start:end] that does not depend on where the span lies."""
     return mix((c[end] - c[start]) * powers(len(c), _RI)[start])
@@ -176,7 +210,14 @@ def words(data: np.ndarray, offs: np.ndarray, lower: bool = False) -> tuple[np.n
     edge[0], edge[n] = False, inside[-1]
     edge[cut] |= inside[cut - 1]
     end = np.flatnonzero(edge)
-    h = span_hash(prefix_hash((_LOWER if lower else _BYTE)[data]), start, end)
+    length = end - start
+    first = np.cumsum(length) - length
+    at = np.flatnonzero(inside)
+    place = np.arange(len(at)) - np.repeat(first, length)
+    value = (_LOWER if lower else _TABLE)[(place % _PLACES << 8) + data[at]]
+    far = np.flatnonzero(place >= _PLACES)
+    value[far] = mix(value[far] + (place[far] // _PLACES).astype(_U) * _U(_R))
+    h = mix(np.add.reduceat(value, first)) if len(first) else np.zeros(0, dtype=_U)
     return h, start, end, np.searchsorted(start, offs)
 
 
@@ -190,8 +231,14 @@ def owners(doc_offs: np.ndarray) -> np.ndarray:
 # sends one binary value a bucket, so that Spark moves thousands of rows and not hundreds of millions.
 
 BLOB = "bucket int, blob binary"
-#: How a document is named in them: its id, and a hash of its text.
+#: How a document is named in them: its id, and what tells rows of one id apart.
 ID = np.dtype([("id", "<i8"), ("h", "<i8")])
+#: Records that a task deals at a time.
+DEAL = 1_000_000
+
+_NAMES = ("id", "h", "n", "step", "low", "high", "check", "bucket", "more", "key", "known", "p", "v", "k", "weight", "done")
+_TYPES = ("|u1", "<u2", "<u4", "<u8", "<i8", "|b1")
+_HEAD = struct.Struct("<BBII")
 
 
 def pack(**arrays: np.ndarray) -> bytes:
@@ -201,19 +248,18 @@ def pack(**arrays: np.ndarray) -> bytes:
         raw = np.ascontiguousarray(v).tobytes()
         z = pa.compress(raw, codec="zstd", asbytes=True) if len(raw) > 64 else raw
         z = z if len(z) < len(raw) else raw
-        out.append(f"{k}:{v.dtype.str}:{len(raw)}:{len(z)};".encode() + z)
+        out += (_HEAD.pack(_NAMES.index(k), _TYPES.index(v.dtype.str), len(raw), len(z)), z)
     return b"".join(out)
 
 
 def unpack(blob: bytes) -> dict[str, np.ndarray]:
     out, at = {}, 0
     while at < len(blob):
-        head = blob.index(b";", at)
-        k, dtype, raw, z = blob[at:head].decode().split(":")
-        body = blob[head + 1 : head + 1 + int(z)]
-        body = pa.decompress(body, decompressed_size=int(raw), codec="zstd", asbytes=True) if raw != z else body
-        out[k] = np.frombuffer(body, dtype=dtype)
-        at = head + 1 + int(z)
+        k, dtype, raw, z = _HEAD.unpack_from(blob, at)
+        body = blob[at + _HEAD.size : at + _HEAD.size + z]
+        body = pa.decompress(body, decompressed_size=raw, codec="zstd", asbytes=True) if raw != z else body
+        out[_NAMES[k]] = np.frombuffer(body, dtype=_TYPES[dtype])
+        at += _HEAD.size + z
     return out
 
 
@@ -222,6 +268,29 @@ def small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
 
 
+def named(ids: np.ndarray) -> dict[str, np.ndarray]:
+    """Documents in order of id, as arrays to pack: steps from id to id, and h where one is not 0."""
+    step = np.diff(ids["id"].astype(_U), prepend=_U(0))
+    return {"id": small(step)} | ({"h": ids["h"]} if ids["h"].any() else {})
+
+
+def names(x: dict[str, np.ndarray]) -> np.ndarray:
+    """The documents that named() packed."""
+    out = np.zeros(len(x["id"]), dtype=ID)
+    out["id"] = np.cumsum(x["id"].astype(_U)).view(np.int64)
+    if "h" in x:
+        out["h"] = x["h"]
+    return out
+
+
+def in_order(doc: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, ids) with the documents in order of their ids."""
+    order = np.lexsort((ids["h"], ids["id"]))
+    place = np.empty(len(order), dtype=np.int32)
+    place[order] = np.arange(len(order))
+    return place[doc], ids[order]
+
+
 def steps(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Records in order of document and position as (documents, records of each, step from one position to the next)."""
     first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, dtype=np.int64)
@@ -237,85 +306,102 @@ def places(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(count)), count), total - np.repeat(total[start] - step[start], count)
 
 
-def deal(keys: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, buckets: int, least: bool = False, keep: bool = False, short: bool = False) -> pa.RecordBatch:
+def differ(*columns: np.ndarray) -> np.ndarray:
+    """Where a row of sorted columns differs from the one before it."""
+    out = np.zeros(len(columns[0]), dtype=bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def deal(keys: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, check: np.ndarray, buckets: int, least: bool = False, keep: bool = False) -> pa.RecordBatch:
     """Records of a task as (bucket, blob) rows; doc indexes ids, a structured array of (id, h).
 
-    Copies of a key within the task meet here. One record, marked `more`, stands for them in the exchange; the
-    others are `done`, as their key is known to repeat, and travel by their document, with the key only to
-    `keep` it. With `least`, the records of the smallest id stand for the key and those of larger ids are done. Either way a
-    key of any frequency sends few records from a task, so no bucket grows with the copies of one key.
+    Copies of a key within the records dealt at a time meet here. One record, marked `more`, stands for them in the
+    exchange; the others are `done`, as their key is known to repeat, and travel by their document, with the key only
+    to `keep` it. With `least`, the records of the smallest id stand for the key and those of larger ids are done.
+    Either way a key of any frequency sends one record, or one document's, for each DEAL records of the corpus.
 
-    With `short`, 40 bits of a key and its bucket travel for it: for keys that only propose what is verified later.
+    40 bits of a key and its bucket travel for it; `check` (32 bits, or nothing) makes it longer.
     """
-    if least:
-        order = np.lexsort((ids["id"][doc], keys))
-    else:
-        order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    new = np.ones(len(k), dtype=bool)
-    np.not_equal(k[1:], k[:-1], out=new[1:])
-    if least and len(k):
+    doc, ids = in_order(doc, ids)
+    wide = len(check) > 0
+    known = (check, keys) if wide else (keys,)
+    order = np.lexsort((doc, *known)) if least else np.lexsort(known) if wide else np.argsort(keys, kind="stable")
+    new = differ(*(c[order] for c in known))
+    if least and len(order):
         group = np.cumsum(new) - 1
         owner = ids["id"][doc[order]]
         stay = owner == owner[new][group]
         more = np.zeros(int(stay.sum()), dtype=bool)
     else:
         stay = new
-        more = np.diff(np.append(np.flatnonzero(new), len(k))) > 1
+        more = np.diff(np.append(np.flatnonzero(new), len(order))) > 1
     first, done = order[stay], order[~stay]
-    back = np.argsort(first, kind="stable")
-    first, more = first[back], more[back]
     rows_b, rows = [], []
-    for at, flag, b in ((first, more, keys[first] % _U(buckets)), (np.sort(done), None, doc[np.sort(done)] % buckets)):
+    for at, flag, b in ((first, more, keys[first] % _U(buckets)), (done, None, doc[done] % buckets)):
         b = b.astype(np.uint16 if buckets < 65536 else np.int64)
-        o = np.argsort(b, kind="stable")
+        o = np.lexsort((pos[at], doc[at], b))
         at, b = at[o], b[o]
         if not len(b):
             continue
-        lim = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
-        for x, y in zip(lim, np.append(lim[1:], len(b)).astype(np.int64), strict=True):
-            q = np.argsort(doc[at[x:y]], kind="stable")
-            part = at[x:y][q]
+        lim = np.flatnonzero(differ(b))
+        for x, y in zip(lim, [*lim[1:], len(b)], strict=True):
+            part = at[x:y]
             used, n, step = steps(doc[part], pos[part])
-            name = "key" if flag is not None else "known"
-            own = ({f"{name}_low": keys[part].astype(np.uint32), f"{name}_high": (keys[part] >> _U(32)).astype(np.uint8), "bucket": np.array([b[x]], dtype=_U)} if short else {name: keys[part]}) if flag is not None or keep else {}
-            if short and keep and flag is None:  # they are dealt by document, so their own bucket travels too
-                own["bucket"] = small(keys[part] % _U(buckets))
-            own |= {"more": np.packbits(flag[o[x:y]][q])} if flag is not None else {}
+            own = {}
+            if flag is not None or keep:
+                k = keys[part]
+                own = {"low": k.astype(np.uint32), "high": (k >> _U(32)).astype(np.uint8), "bucket": small(k[:1] % _U(buckets) if flag is not None else k % _U(buckets))}
+                own |= {"check": check[part]} if wide else {}
+            own |= {"more": np.packbits(flag[o[x:y]])} if flag is not None else {"done": np.zeros(1, dtype=np.uint8)}
             rows_b.append(int(b[x]))
-            rows.append(pack(ids=ids[used], n=n, step=step, **own))
+            rows.append(pack(**named(ids[used]), n=n, step=step, **own))
     return pa.RecordBatch.from_arrays([pa.array(rows_b, pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "blob"])
 
 
+def dealt(parts: Iterable[tuple], buckets: int, **how) -> Iterator[pa.RecordBatch]:
+    """deal() over the parts (keys, documents, positions, ids, check or None) of a task, DEAL records or a part more at a time."""
+    held: list[tuple] = []
+    count = base = 0
+    for keys, doc, pos, ids, check in parts:
+        held.append((keys, doc.astype(np.int32) + np.int32(base), pos.astype(np.uint32), ids, np.zeros(0, dtype=np.uint32) if check is None else check))
+        count, base = count + len(keys), base + len(ids)
+        if count >= DEAL:
+            yield deal(*map(np.concatenate, zip(*held, strict=True)), buckets, **how)
+            held, count, base = [], 0, 0
+    if count:
+        yield deal(*map(np.concatenate, zip(*held, strict=True)), buckets, **how)
+
+
 def gathered(blobs) -> dict[str, np.ndarray]:
-    """All records of a bucket: key, doc (a place in ids), pos, more, done, and the table ids."""
-    cols: dict[str, list] = {"key": [], "doc": [], "pos": [], "more": [], "done": [], "ids": []}
+    """All records of a bucket: key, check, doc (a place in ids), pos, more, done, and the table ids."""
+    cols: dict[str, list] = {"key": [], "check": [], "doc": [], "pos": [], "more": [], "done": [], "ids": []}
     at = 0
     for x in map(unpack, blobs):
-        for name in ("key", "known"):
-            if f"{name}_low" in x:
-                x[name] = x[f"{name}_low"].astype(_U) | x[f"{name}_high"].astype(_U) << _U(32) | x["bucket"].astype(_U) << _U(40)
         doc, pos = places(x)
-        n, done = len(pos), "key" not in x
-        cols["key"].append(x["key"] if not done else x.get("known", np.zeros(n, dtype=_U)))
+        n, done = len(pos), "done" in x
+        key = x["low"].astype(_U) | x["high"].astype(_U) << _U(32) | x["bucket"].astype(_U) << _U(40) if "low" in x else np.zeros(n, dtype=_U)
+        cols["key"].append(key)
+        cols["check"].append(x.get("check", np.zeros(n, dtype=np.uint32)))
         cols["doc"].append(doc.astype(np.int32) + np.int32(at))
         cols["pos"].append(pos.astype(np.uint32))
         cols["more"].append(np.ones(n, dtype=bool) if done else np.unpackbits(x["more"], count=n).astype(bool))
         cols["done"].append(np.full(n, done))
-        cols["ids"].append(x["ids"].view(ID))
-        at += len(x["ids"])
+        cols["ids"].append(names(x))
+        at += len(x["id"])
     return {k: np.concatenate(v) for k, v in cols.items()}
 
 
 def repeated(r: dict[str, np.ndarray]) -> np.ndarray:
     """Which records have a key that another record has too."""
     order = np.flatnonzero(~r["done"])  # those may lie between two others of their key
-    order = order[np.argsort(r["key"][order], kind="stable")]
-    k = r["key"][order]
-    same = k[1:] == k[:-1]
+    order = order[np.lexsort((r["check"][order], r["key"][order]))]
+    same = ~differ(r["key"][order], r["check"][order])
     out = np.zeros(len(r["key"]), dtype=bool)
-    out[order[1:][same]] = True
-    out[order[:-1][same]] = True
+    out[order[same]] = True
+    out[order[:-1][same[1:]]] = True
     return out | r["more"]
 
 
@@ -324,11 +410,9 @@ def not_least(r: dict[str, np.ndarray]) -> np.ndarray:
     out = r["done"].copy()
     at = np.flatnonzero(~out)
     owner = r["ids"]["id"][r["doc"][at]]
-    order = np.lexsort((owner, r["key"][at]))
-    k = r["key"][at][order]
-    new = np.ones(len(k), dtype=bool)
-    np.not_equal(k[1:], k[:-1], out=new[1:])
-    if len(k):
+    order = np.lexsort((owner, r["check"][at], r["key"][at]))
+    new = differ(r["key"][at][order], r["check"][at][order])
+    if len(order):
         out[at[order]] = owner[order] > owner[order][new][np.cumsum(new) - 1]
     return out
 
@@ -343,8 +427,9 @@ def as_slots(r: dict[str, np.ndarray], hit: np.ndarray, slots: int):
     """The records under `hit` dealt by document, as rows of SLOTS, as pandas: one row a slot, not one a document."""
     import pandas as pd
 
-    slot = (mix(r["ids"]["id"].astype(_U) ^ mix(r["ids"]["h"].astype(_U))) % _U(slots)).astype(np.int64)
-    doc, pos = r["doc"][hit].astype(np.int64), r["pos"][hit].astype(np.int64)
+    doc, ids = in_order(r["doc"][hit], r["ids"])
+    slot = (mix(ids["id"].astype(_U) ^ mix(ids["h"].astype(_U))) % _U(slots)).astype(np.int64)
+    pos = r["pos"][hit].astype(np.int64)
     order = np.lexsort((pos, doc, slot[doc]))
     doc, pos = doc[order], pos[order]
     of = slot[doc]
@@ -352,7 +437,7 @@ def as_slots(r: dict[str, np.ndarray], hit: np.ndarray, slots: int):
     out = []
     for a, b in zip(at, [*at[1:], len(of)], strict=False):
         used, n, step = steps(doc[a:b], pos[a:b])
-        out.append(pack(ids=r["ids"][used], n=n, step=step))
+        out.append(pack(**named(ids[used]), n=n, step=step))
     return pd.DataFrame({"slot": of[at].astype(np.int32), "blob": out})
 
 
@@ -365,13 +450,13 @@ def by_document(slots: DataFrame) -> DataFrame:
         ids, pos = [], []
         for x in map(unpack, pdf["blob"]):
             doc, p = places(x)
-            ids.append(x["ids"].view(ID)[doc])
+            ids.append(names(x)[doc])
             pos.append(p)
-        named, place = np.unique(np.concatenate(ids), return_inverse=True)
+        docs, place = np.unique(np.concatenate(ids), return_inverse=True)
         pos = np.concatenate(pos)
         order = np.lexsort((pos, place))
-        pos, lim = pos[order].astype(np.uint32), np.searchsorted(place[order], np.arange(len(named) + 1))
-        return pd.DataFrame({"k": named["id"], "h": named["h"], "hits": [pack(p=np.diff(pos[a:b], prepend=np.uint32(0))) for a, b in zip(lim[:-1], lim[1:], strict=True)]})
+        pos, lim = pos[order].astype(np.uint32), np.searchsorted(place[order], np.arange(len(docs) + 1))
+        return pd.DataFrame({"k": docs["id"], "h": docs["h"], "hits": [pack(p=np.diff(pos[a:b], prepend=np.uint32(0))) for a, b in zip(lim[:-1], lim[1:], strict=True)]})
 
     return slots.groupBy("slot").applyInPandas(one, HITS)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB, among, bucket_count, chunks, deal, exchange, id_table, marked, materialize, mix, owners, pack, repeated, unpack, without, words
+from .common import BLOB, among, bucket_count, chunks, dealt, exchange, id_table, marked, materialize, mix, owners, pack, repeated, unpack, without, words
 from .components import components
 from .windows import NULLS, keyed
 
@@ -48,13 +48,13 @@ def shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     whole = np.flatnonzero(place + SHINGLE <= n[own])
     value = h[whole].copy()
     for k in range(1, SHINGLE):
-        value = value * _M + h[whole + k]
+        value = mix(value * _M + h[whole + k])
     short = np.flatnonzero((n > 0) & (n < SHINGLE))
     if len(short):
         acc = n[short].astype(np.uint64)  # the number of words tells sequences of different lengths apart
         for k in range(SHINGLE - 1):
             on = k < n[short]
-            acc = np.where(on, acc * _M + h[np.minimum(offs[short] + k, len(h) - 1)], acc)
+            acc = np.where(on, mix(acc * _M) + h[np.minimum(offs[short] + k, len(h) - 1)], acc)
         value, doc = np.concatenate([mix(value), mix(acc ^ _M)]), np.concatenate([own[whole], short])
     else:
         value, doc = mix(value), own[whole]
@@ -177,20 +177,21 @@ def _postings(rows: DataFrame, most: int, buckets: int) -> DataFrame:
 
     bands = _bands(most)
 
-    def run(batches):
+    def parts(batches):
         for batch in batches:
             for some, data, offs in chunks(batch):
                 v, offs = shingles(data, offs)
                 key, doc = segment_keys(v, offs, bands)
                 ids = id_table(some)
                 ids["h"] = 0  # not asked for here
-                yield deal(key, doc, np.zeros(len(key), dtype=np.uint32), ids, buckets, keep=True, short=True)
+                yield key, doc, np.zeros(len(key), dtype=np.uint32), ids, None
 
     def reduce(r):
         hit = repeated(r)
         return pd.DataFrame({"key": r["key"][hit].view(np.int64), "k": r["ids"]["id"][r["doc"][hit]]})
 
-    return exchange(rows.select("k", "h", "text").mapInArrow(run, BLOB), reduce, "key long, k long")
+    entries = rows.select("k", "h", "text").mapInArrow(lambda batches: dealt(parts(batches), buckets, keep=True), BLOB)
+    return exchange(entries, reduce, "key long, k long")
 
 
 def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:

@@ -11,31 +11,20 @@ their neighbour; and only suffixes next to a repeated sample are named in full a
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, mix
+from .common import _BYTE, stretches
 from .windows import Finder, covered, digest, keyed, repeated_windows, with_windows
 
 WIDTH = 400
-_A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA3B195354A39B70D)
-
-
-def _triple(x, y, z):
-    return mix((x * _A + y) * _B + z)
 
 
 def _byte_units(data, offs):
-    def namer(at, n):
-        names, size = _BYTE[data], 1
-        while size * 3 <= n:
-            names = _triple(names[: len(names) - 2 * size], names[size : len(names) - size], names[2 * size :])
-            size *= 3
-        return _triple(names[at], names[at + (n - size) // 2], names[at + n - size]) if n > size else names[at]
-
-    return namer, offs
+    return partial(stretches, _BYTE[data]), offs
 
 
 #: Period 183 of 14 members: samples of 218 bytes at a thirteenth of all places.

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB, SLOTS, WHOLE, among, as_slots, bucket_count, by_document, chunks, deal, exchange, id_table, marked, materialize, not_least, owners, positions, repeated, without
+from .common import BLOB, SLOTS, WHOLE, among, as_slots, bucket_count, by_document, chunks, dealt, exchange, grown, id_table, marked, materialize, not_least, owners, positions, repeated, without
 
 
 def difference_cover(p: int) -> tuple[int, np.ndarray]:
@@ -43,7 +43,7 @@ def difference_cover(p: int) -> tuple[int, np.ndarray]:
 @dataclass(frozen=True)
 class Finder:
     """width: units of a window. p: of the cover. units(data, offsets) gives a namer and document offsets in units,
-    where namer(starts, length) names the stretches of that length. least: whether only smaller ids count."""
+    where namer(starts, length, wide) is stretches() on them. least: whether only smaller ids count."""
 
     width: int
     p: int
@@ -67,10 +67,15 @@ NULLS = 1 << 62
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(k, h, doc_id, text): k is doc_id, or from NULLS on; h tells rows with one id and different texts apart."""
+    """(k, h, doc_id, text): k is doc_id, or from NULLS on; h tells rows with one id and different texts apart.
+
+    h is 0 for ids that occur once, apart from few, as random bits would be most of what travels with a record.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     k = F.coalesce(F.col("doc_id").cast("long"), F.pmod(F.xxhash64(text), F.lit(NULLS)) + NULLS)
-    return docs.select(k.alias("k"), F.xxhash64(text).alias("h"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    often = materialize(docs.groupBy(k.alias("k")).count().filter("count > 1").select("k"))
+    rows = docs.select(k.alias("k"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    return marked(rows, often, "k").select("k", F.when(F.col("_in"), F.xxhash64("text")).otherwise(0).cast("long").alias("h"), "doc_id", "text")
 
 
 def _collected(hits: DataFrame) -> DataFrame:
@@ -79,20 +84,20 @@ def _collected(hits: DataFrame) -> DataFrame:
 
 
 def _anchors(rows: DataFrame, f: Finder, buckets: int) -> DataFrame:
-    def run(batches):
+    def parts(batches):
         for batch in batches:
             for some, data, offs in chunks(batch):
                 name, offs = f.units(data, offs)
                 own = owners(offs)
                 place = np.arange(offs[-1]) - offs[own]
                 at = np.flatnonzero(f.residue[place % f.v] & (place + f.anchor <= np.diff(offs)[own]))
-                yield deal(name(at, f.anchor), own[at], place[at], id_table(some), buckets, short=True)  # the second pass decides
+                yield name(at, f.anchor)[0], own[at], place[at], id_table(some), None  # the second pass decides
 
-    return rows.select("k", "h", "text").mapInArrow(run, BLOB)
+    return rows.select("k", "h", "text").mapInArrow(lambda batches: dealt(parts(batches), buckets), BLOB)
 
 
 def _candidates(rows: DataFrame, f: Finder, buckets: int) -> DataFrame:
-    def run(batches):
+    def parts(batches):
         for batch in batches:
             for some, data, offs in chunks(batch):
                 name, offs = f.units(data, offs)
@@ -104,29 +109,30 @@ def _candidates(rows: DataFrame, f: Finder, buckets: int) -> DataFrame:
                 own = owners(offs)
                 at = np.flatnonzero(np.cumsum(step[:-1]) > 0)
                 at = at[at + f.width <= offs[1:][own[at]]]
-                yield deal(name(at, f.width), own[at], at - offs[own[at]], id_table(some), buckets, f.least)
+                key, check = name(at, f.width, True)
+                yield key, own[at], at - offs[own[at]], id_table(some), check
 
-    return rows.select("k", "h", "text", "hits").mapInArrow(run, BLOB)
+    return rows.select("k", "h", "text", "hits").mapInArrow(lambda batches: dealt(parts(batches), buckets, least=f.least), BLOB)
 
 
 def repeated_windows(rows: DataFrame, f: Finder, units_total: int) -> DataFrame:
     """(k, h, hits): places of the windows that start elsewhere too, or in a smaller id, in rows of keyed().
 
-    Copies of whole texts are told by their hashes and lengths. One of each goes through the passes; of the
-    others all windows are hits, and with `least` not set those of the first too.
+    Copies of whole texts are told by 128 bits of hashes and their lengths. One of each goes through the passes; of
+    the others all windows are hits, and with `least` not set those of the first too.
     """
     spark = rows.sparkSession
-    alike = ["h", F.octet_length("text").alias("size"), F.hash("text").alias("other")]
-    prints = materialize(rows.select("k", *alike))
-    classes = prints.groupBy("h", "size", "other").agg(F.min("k").alias("rep"), F.count("*").alias("copies")).filter("copies > 1 and size > 0")
-    copies = materialize(prints.join(classes, ["h", "size", "other"]).select("k", "h", (F.col("k") != F.col("rep")).alias("gone")))
+    alike = ["x", "y", "size"]
+    prints = materialize(rows.select("k", "h", F.xxhash64("text").alias("x"), F.xxhash64(F.lit(1), "text").alias("y"), F.octet_length("text").alias("size")))
+    classes = prints.groupBy(*alike).agg(F.min(F.struct("k", "h")).alias("rep"), F.count("*").alias("copies")).filter("copies > 1 and size > 0")
+    copies = materialize(prints.join(grown(classes), alike).select("k", "h", (F.struct("k", "h") != F.col("rep")).alias("gone")))
     own = without(rows, copies.filter("gone").select("k", "h"))
     whole = (copies.filter("gone") if f.least else copies).select("k", "h", F.lit(WHOLE).alias("hits"))
     sampled = units_total * (f.p + 1) // f.v
     n = bucket_count(spark, sampled)
     found = exchange(_anchors(own, f, n), lambda r: as_slots(r, repeated(r), n), SLOTS)
     found = materialize(by_document(found), release=True)
-    some = among(own, found, "k").join(_collected(found), ["k", "h"])
+    some = among(own, found, "k").join(grown(_collected(found)), ["k", "h"])
     decide = not_least if f.least else repeated
     # what stays is less than all units; buckets for a quarter of them are small enough if all stayed
     m = bucket_count(spark, units_total // 4)
@@ -136,7 +142,7 @@ def repeated_windows(rows: DataFrame, f: Finder, units_total: int) -> DataFrame:
 
 def with_windows(rows: DataFrame, found: DataFrame) -> DataFrame:
     """rows with `hits`, a list or null; texts without hits stay where they are, apart from few."""
-    hit = among(rows, found, "k").join(_collected(found), ["k", "h"], "left")
+    hit = among(rows, found, "k").join(grown(_collected(found)), ["k", "h"], "left")
     return hit.unionByName(marked(rows, found, "k").filter("not _in").drop("_in").withColumn("hits", F.lit(None).cast("array<binary>")))
 
 
