@@ -6,9 +6,11 @@ Arrow string buffers, so no Python object is made for a word.
 
 from __future__ import annotations
 
+import gc
 import os
 import struct
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -54,12 +56,23 @@ def materialize(df: DataFrame, release: bool = False) -> DataFrame:
     path = shared_dir(spark)
     df.write.parquet(path)
     if release:
-        spark._jvm.System.gc()
+        let_go(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._tickloom_path = path
     return out
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has Spark's cleaner remove the shuffle files of finished steps.
+
+    The listeners hold on to a finished query for a moment, so a collection right behind it would find nothing.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.2)
+        spark._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Deletes what materialize() wrote for df; only for tables that nothing reads again."""
     spark, path = df.sparkSession, getattr(df, "_tickloom_path", None)
@@ -285,6 +298,8 @@ def names(x: dict[str, np.ndarray]) -> np.ndarray:
 
 def in_order(doc: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(doc, ids) with the documents in order of their ids."""
+    if (ids["id"][1:] > ids["id"][:-1]).all():
+        return doc, ids
     order = np.lexsort((ids["h"], ids["id"]))
     place = np.empty(len(order), dtype=np.int32)
     place[order] = np.arange(len(order))
@@ -327,6 +342,9 @@ def deal(keys: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, ch
     """
     doc, ids = in_order(doc, ids)
     wide = len(check) > 0
+    if (doc[1:] < doc[:-1]).any():
+        order = np.argsort(doc, kind="stable")
+        keys, doc, pos, check = keys[order], doc[order], pos[order], check[order] if wide else check
     known = (check, keys) if wide else (keys,)
     order = np.lexsort((doc, *known)) if least else np.lexsort(known) if wide else np.argsort(keys, kind="stable")
     new = differ(*(c[order] for c in known))
@@ -338,11 +356,13 @@ def deal(keys: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, ch
     else:
         stay = new
         more = np.diff(np.append(np.flatnonzero(new), len(order))) > 1
-    first, done = order[stay], order[~stay]
+    stays, copied = np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=bool)
+    stays[order[stay]], copied[order[stay]] = True, more
+    first, done = np.flatnonzero(stays), np.flatnonzero(~stays)  # both in order of documents
     rows_b, rows = [], []
-    for at, flag, b in ((first, more, keys[first] % _U(buckets)), (done, None, doc[done] % buckets)):
+    for at, flag, b in ((first, copied, keys[first] % _U(buckets)), (done, None, doc[done] % buckets)):
         b = b.astype(np.uint16 if buckets < 65536 else np.int64)
-        o = np.lexsort((pos[at], doc[at], b))
+        o = np.argsort(b, kind="stable")
         at, b = at[o], b[o]
         if not len(b):
             continue
@@ -355,7 +375,7 @@ def deal(keys: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, ch
                 k = keys[part]
                 own = {"low": k.astype(np.uint32), "high": (k >> _U(32)).astype(np.uint8), "bucket": small(k[:1] % _U(buckets) if flag is not None else k % _U(buckets))}
                 own |= {"check": check[part]} if wide else {}
-            own |= {"more": np.packbits(flag[o[x:y]])} if flag is not None else {"done": np.zeros(1, dtype=np.uint8)}
+            own |= {"more": np.packbits(flag[part])} if flag is not None else {"done": np.zeros(1, dtype=np.uint8)}
             rows_b.append(int(b[x]))
             rows.append(pack(**named(ids[used]), n=n, step=step, **own))
     return pa.RecordBatch.from_arrays([pa.array(rows_b, pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "blob"])
@@ -397,7 +417,7 @@ def gathered(blobs) -> dict[str, np.ndarray]:
 def repeated(r: dict[str, np.ndarray]) -> np.ndarray:
     """Which records have a key that another record has too."""
     order = np.flatnonzero(~r["done"])  # those may lie between two others of their key
-    order = order[np.lexsort((r["check"][order], r["key"][order]))]
+    order = order[np.lexsort((r["check"][order], r["key"][order])) if r["check"].any() else np.argsort(r["key"][order])]
     same = ~differ(r["key"][order], r["check"][order])
     out = np.zeros(len(r["key"]), dtype=bool)
     out[order[same]] = True
@@ -447,15 +467,20 @@ def by_document(slots: DataFrame) -> DataFrame:
     def one(pdf):
         import pandas as pd
 
-        ids, pos = [], []
+        tables, docs, pos, base = [], [], [], 0
         for x in map(unpack, pdf["blob"]):
             doc, p = places(x)
-            ids.append(names(x)[doc])
+            tables.append(names(x))
+            docs.append(doc + base)
             pos.append(p)
-        docs, place = np.unique(np.concatenate(ids), return_inverse=True)
-        pos = np.concatenate(pos)
-        order = np.lexsort((pos, place))
-        pos, lim = pos[order].astype(np.uint32), np.searchsorted(place[order], np.arange(len(docs) + 1))
+            base += len(tables[-1])
+        table = np.concatenate(tables)
+        order = np.lexsort((table["h"], table["id"]))
+        new = differ(table["id"][order], table["h"][order])
+        place = np.empty(len(table), dtype=np.int64)
+        place[order] = np.cumsum(new) - 1
+        docs, at = table[order][new], np.sort(place[np.concatenate(docs)] << 32 | np.concatenate(pos))
+        pos, lim = at.astype(np.uint32), np.searchsorted(at >> 32, np.arange(len(docs) + 1))
         return pd.DataFrame({"k": docs["id"], "h": docs["h"], "hits": [pack(p=np.diff(pos[a:b], prepend=np.uint32(0))) for a, b in zip(lim[:-1], lim[1:], strict=True)]})
 
     return slots.groupBy("slot").applyInPandas(one, HITS)
