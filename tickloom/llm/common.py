@@ -102,8 +102,7 @@ def grown(df: DataFrame) -> DataFrame:
 
 def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
     """rows(k, h, ...) less the pairs in gone(k, h); only texts whose id may be among them are shuffled."""
-    rest = marked(rows, gone, "k").filter("not _in").drop("_in")
-    return rest.unionByName(among(rows, gone, "k").join(grown(gone), ["k", "h"], "left_anti").select(*rows.columns))
+    return apart_from(rows, gone, "k").unionByName(among(rows, gone, "k").join(grown(gone), ["k", "h"], "left_anti").select(*rows.columns))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -525,20 +524,37 @@ def bucket_count(spark: SparkSession, records: int, each: int = 1_000_000) -> in
 FILTER_BITS = 1 << 23
 
 
-def marked(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
-    """df with `_in`: true for all rows whose id is in ids(column), and for few others.
+def marked(df: DataFrame, ids: DataFrame, column: str = "doc_id", flag: str = "_in") -> DataFrame:
+    """df with `flag`: true for all rows whose id is in ids(column), and for few others.
 
     A bitmap of FILTER_BITS bits, in rows of 4 kB, is broadcast: 1 MB whatever the input. It is only a shortcut
     before an exact join, and keeps texts that no row of ids needs out of the shuffle.
     """
     slot = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(FILTER_BITS)) + 1  # from 1, as bitmap buckets count
-    maps = ids.select(F.bitmap_bucket_number(slot).alias("_b"), F.bitmap_bit_position(slot).alias("_p")).groupBy("_b").agg(F.bitmap_construct_agg("_p").alias("_m"))
-    rows = df.withColumn("_b", F.bitmap_bucket_number(slot)).withColumn("_p", F.bitmap_bit_position(slot)).join(F.broadcast(maps), "_b", "left")
-    byte = F.conv(F.hex(F.substring("_m", F.floor(F.col("_p") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    bit = F.expr("shiftright(_y, cast(_p % 8 as int)) & 1")
-    return rows.withColumn("_y", byte).select(*df.columns, (F.coalesce(bit, F.lit(0)) == 1).alias("_in"))
+    bucket, place, bits, byte = fresh(df, "bucket"), fresh(df, "place"), fresh(df, "bits"), fresh(df, "byte")
+    maps = ids.select(F.bitmap_bucket_number(slot).alias(bucket), F.bitmap_bit_position(slot).alias("p")).groupBy(bucket).agg(F.bitmap_construct_agg("p").alias(bits))
+    rows = df.withColumn(bucket, F.bitmap_bucket_number(slot)).withColumn(place, F.bitmap_bit_position(slot)).join(F.broadcast(maps), bucket, "left")
+    held = F.conv(F.hex(F.substring(bits, F.floor(F.col(place) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.expr(f"shiftright({byte}, cast({place} % 8 as int)) & 1")
+    return rows.withColumn(byte, held).select(*(F.col(c) for c in df.columns), (F.coalesce(bit, F.lit(0)) == 1).alias(flag))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    have = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name in have:
+        name = f"_{name}"
+    return name
 
 
 def among(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
     """The rows of df whose id is in ids, and few others."""
-    return marked(df, ids, column).filter("_in").drop("_in")
+    flag = fresh(df, "in")
+    return marked(df, ids, column, flag).filter(flag).drop(flag)
+
+
+def apart_from(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """The rows that among() leaves out: none of them has an id in ids."""
+    flag = fresh(df, "in")
+    return marked(df, ids, column, flag).filter(f"not {flag}").drop(flag)

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _RI, among, chunks, id_table, marked, materialize, mix, powers, prefix_hash, span_hash
-from .windows import keyed
+from .common import _RI, among, apart_from, chunks, fresh, grown, id_table, materialize, mix, powers, prefix_hash, span_hash
+from .windows import key_of, keyed
 
 #: Tokens of a window; literal tokens among them at least; windows of an item on one diagonal (or all it has).
 WINDOW, LITERAL, RUN = 8, 4, 6
@@ -234,26 +234,36 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Null and empty texts match nothing, on either side; null item ids are compared like any other. A document
     without an id is found under a null id. Repeated rows count once. Either table may be empty.
     """
+    return _found(docs, benchmark).select("doc_id", "item_id", "n_windows").distinct()
+
+
+def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(k, text_hash, doc_id, item_id, n_windows): contaminated documents, told apart where they share an id or have none."""
     rows = keyed(docs)
     items = materialize(item_windows(benchmark))
     hits = materialize(_hits(rows, items))
     pairs = materialize(hits.join(items.select("key", "item_id"), "key").groupBy("k", "h", "item_id").agg(F.count("*").alias("n")))
     texts = among(rows, pairs, "k")
     named = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("item_text"))
-    both = pairs.join(texts, ["k", "h"]).join(named.withColumnRenamed("item_id", "i"), F.col("item_id").eqNullSafe(F.col("i"))).select("doc_id", "item_id", "text", "item_text")
+    both = pairs.join(texts, ["k", "h"]).join(named.withColumnRenamed("item_id", "i"), F.col("item_id").eqNullSafe(F.col("i"))).select("doc_id", "item_id", "text", "item_text", "k", F.xxhash64("text").alias("text_hash"))
 
     def run(batches):
         lexicon = Lexicon()
         for batch in batches:
             n = [matched(i.as_py().encode(), t.as_py().encode(), lexicon) for t, i in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["doc_id", "item_id", "n_windows"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (4, 5, 0, 1)), pa.array(n, pa.int64())], names=["k", "text_hash", "doc_id", "item_id", "n_windows"])
 
-    found = both.mapInArrow(run, f"doc_id long, item_id {dict(benchmark.dtypes)['item_id']}, n_windows long")
-    return found.filter("n_windows > 0").distinct()
+    found = both.mapInArrow(run, f"k long, text_hash long, doc_id long, item_id {dict(benchmark.dtypes)['item_id']}, n_windows long")
+    return found.filter("n_windows > 0")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns; rows without an id stay."""
-    gone = materialize(contaminated(docs, benchmark).select("doc_id").na.drop().distinct())
-    rest = marked(docs, gone).filter("not _in").drop("_in")
-    return rest.unionByName(among(docs, gone).join(gone, "doc_id", "left_anti").select(*docs.columns))
+    """The documents that hold no benchmark item, with all their columns.
+
+    Rows without an id, or with one that several texts share, go or stay by their own text.
+    """
+    k, text_hash = fresh(docs, "k"), fresh(docs, "text_hash")
+    gone = materialize(_found(docs, benchmark).select(F.col("k").alias(k), F.col("text_hash").alias(text_hash)).distinct())
+    rows = docs.withColumn(k, key_of(docs)).withColumn(text_hash, F.xxhash64(F.coalesce("text", F.lit(""))))
+    rest = among(rows, gone, k).join(grown(gone), [k, text_hash], "left_anti")
+    return apart_from(rows, gone, k).select(*docs.columns).unionByName(rest.select(*docs.columns))

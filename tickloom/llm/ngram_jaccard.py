@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB, among, bucket_count, chunks, dealt, exchange, id_table, marked, materialize, mix, owners, pack, repeated, unpack, without, words
+from .common import BLOB, among, apart_from, bucket_count, chunks, dealt, exchange, grown, id_table, materialize, mix, owners, pack, repeated, unpack, without, words
 from .components import components
 from .windows import NULLS, keyed
 
@@ -160,7 +160,7 @@ def possible(distance: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
 def near(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     """The pairs(a, b) that their sketches and sizes leave possible."""
     side = prints.select("k", "n_shingles", "sketch")
-    both = pairs.join(side.toDF("a", "n", "x"), "a").join(side.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+    both = pairs.join(grown(side.toDF("a", "n", "x")), "a").join(grown(side.toDF("b", "m", "y")), "b").select("a", "b", "n", "m", "x", "y")
 
     def run(batches):
         for batch in batches:
@@ -198,7 +198,7 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs(a, b) whose shingle sets are similar, by their whole texts."""
     ids = pairs.select(F.col("a").alias("k")).union(pairs.select("b"))
     texts = among(rows, ids, "k").select("k", "text")
-    both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+    both = pairs.join(grown(texts.toDF("a", "ta")), "a").join(grown(texts.toDF("b", "tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches):
         for batch in batches:
@@ -221,7 +221,7 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
 def _block_pairs(large: DataFrame, prints: DataFrame) -> DataFrame:
     """Pairs in different components within segments of many members: large(key, k, component, size)."""
-    known = large.join(prints.select("k", F.col("n_shingles").alias("n"), "sketch"), "k")
+    known = large.join(grown(prints.select("k", F.col("n_shingles").alias("n"), "sketch")), "k")
     known = known.join(large.groupBy("key", "component").agg(F.count("*").alias("own")), ["key", "component"])
     # a component of many members has blocks to itself, which need no comparison with each other
     alone = F.col("own") > BLOCK
@@ -281,7 +281,7 @@ def link_counts(classes: DataFrame, rows: DataFrame) -> DataFrame:
     blocks = F.ceil(F.greatest(F.col("members") / LINK_CLASSES, F.col("all") / LINK_SHINGLES)).cast("long")
     placed = classes.join(sizes, "component").withColumn("blocks", blocks).select(F.col("rep").alias("k"), F.col("rep_h").alias("h"), "component", "weight", "blocks")
     placed = materialize(placed.withColumn("own", F.pmod(F.xxhash64("k", "h"), F.col("blocks"))))
-    texts = among(rows, placed, "k").select("k", "h", "text").join(placed, ["k", "h"])
+    texts = among(rows, placed, "k").select("k", "h", "text").join(grown(placed), ["k", "h"])
     packed = texts.groupBy("component", "own", "blocks").agg(F.collect_set(F.struct("k", "h", "weight", "text")).alias("m"))
 
     def sets(batches):
@@ -328,37 +328,37 @@ def linked(docs: DataFrame, counted: bool = True) -> DataFrame:
     prints = materialize(fingerprints(rows))
     classes = prints.filter("n_shingles > 0").groupBy("n_shingles", "x", "y").agg(F.min(F.struct("k", "h")).alias("r"), F.count("*").alias("weight"))
     classes = classes.select("n_shingles", "x", "y", F.col("r.k").alias("rep"), F.col("r.h").alias("rep_h"), "weight")
-    members = materialize(prints.join(classes, ["n_shingles", "x", "y"], "left").select("k", "h", "doc_id", "n_shingles", "rep", "rep_h", "weight"))
+    members = materialize(prints.join(grown(classes), ["n_shingles", "x", "y"], "left").select("k", "h", "doc_id", "n_shingles", "rep", "rep_h", "weight"))
     total, most = members.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.coalesce(F.max("n_shingles"), F.lit(0))).first()
     # only one document of each class goes on; texts of the others are told apart by a filter, then exactly
     gone = materialize(members.filter("rep is null or k != rep").select("k", "h"))
     postings = materialize(_postings(without(rows, gone), most, bucket_count(docs.sparkSession, total * 3 // 5)), release=True)
-    lone = prints.join(gone, ["k", "h"], "left_anti")
+    lone = prints.join(grown(gone), ["k", "h"], "left_anti")
     hubs = postings.groupBy("key").agg(F.min("k").alias("hub"), F.count("*").alias("size")).filter("size > 1")
-    star = postings.join(hubs, "key").filter("k != hub").select(F.col("hub").alias("a"), F.col("k").alias("b")).distinct()
+    star = postings.join(grown(hubs), "key").filter("k != hub").select(F.col("hub").alias("a"), F.col("k").alias("b")).distinct()
     star = materialize(near(star, lone), release=True)
     links = materialize(verified(star, rows), release=True)
     found = components(links)
     # what the stars leave open: segments whose members lie in several components
-    placed = postings.join(found.withColumnRenamed("id", "k"), "k", "left").select("key", "k", F.coalesce("component", "k").alias("component"))
+    placed = postings.join(grown(found.withColumnRenamed("id", "k")), "k", "left").select("key", "k", F.coalesce("component", "k").alias("component"))
     open_keys = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key", "size")
-    left = materialize(placed.join(open_keys, "key"), release=True)
+    left = materialize(placed.join(grown(open_keys), "key"), release=True)
     small = left.filter(F.col("size") <= SMALL)
     other = small.select("key", F.col("k").alias("b"), F.col("component").alias("cb"))
-    pairs = small.select("key", F.col("k").alias("a"), F.col("component").alias("ca")).join(other, "key").filter("a < b and ca != cb").select("a", "b")
-    pairs = pairs.distinct().union(_block_pairs(left.filter(F.col("size") > SMALL), lone)).distinct().join(star, ["a", "b"], "left_anti")
+    pairs = small.select("key", F.col("k").alias("a"), F.col("component").alias("ca")).join(grown(other), "key").filter("a < b and ca != cb").select("a", "b")
+    pairs = pairs.distinct().union(_block_pairs(left.filter(F.col("size") > SMALL), lone)).distinct().join(grown(star), ["a", "b"], "left_anti")
     more = materialize(verified(materialize(near(pairs, lone), release=True), rows), release=True)
     found = materialize(components(links.union(more)).withColumnRenamed("id", "rep"))
     component = F.coalesce("component", "rep")
-    out = members.join(found, "rep", "left")
+    out = members.join(grown(found), "rep", "left")
     if not counted:
         return out.select("doc_id", *_placed())
     # similar classes are always of one component, so its pairs are all that can link
     one = members.filter("rep is not null").select("rep", "rep_h", "n_shingles", "weight").distinct()
-    one = one.join(found, "rep", "left").withColumn("component", component)
+    one = one.join(grown(found), "rep", "left").withColumn("component", component)
     others = link_counts(one, rows)
     n_links = F.coalesce("others", F.lit(0)) + F.coalesce(F.col("weight") - 1, F.lit(0))
-    return out.join(others, ["rep", "rep_h"], "left").select("doc_id", *_placed(), n_links.cast("long").alias("n_links"))
+    return out.join(grown(others), ["rep", "rep_h"], "left").select("doc_id", *_placed(), n_links.cast("long").alias("n_links"))
 
 
 def _placed():
@@ -372,6 +372,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows without an id stay, as no id says which of them to drop.
     """
     gone = materialize(linked(docs, counted=False).filter("doc_id != component_id").select("doc_id"))
-    # a null id has no place in the bitmap; its row stays
-    rest = marked(docs, gone).filter("not _in or doc_id is null").drop("_in")
-    return rest.unionByName(among(docs, gone).filter("doc_id is not null").join(gone, "doc_id", "left_anti").select(*docs.columns))
+    return apart_from(docs, gone).unionByName(among(docs, gone).join(grown(gone), "doc_id", "left_anti").select(*docs.columns))

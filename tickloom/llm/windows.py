@@ -15,10 +15,10 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB, SLOTS, WHOLE, among, as_slots, bucket_count, by_document, chunks, dealt, exchange, grown, id_table, marked, materialize, not_least, owners, positions, repeated, without
+from .common import BLOB, SLOTS, WHOLE, among, apart_from, as_slots, bucket_count, by_document, chunks, dealt, exchange, grown, id_table, marked, materialize, not_least, owners, positions, repeated, without
 
 
 def difference_cover(p: int) -> tuple[int, np.ndarray]:
@@ -66,15 +66,19 @@ class Finder:
 NULLS = 1 << 62
 
 
+def key_of(docs: DataFrame) -> Column:
+    """doc_id, or from NULLS on."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(NULLS)) + NULLS)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """(k, h, doc_id, text): k is doc_id, or from NULLS on; h tells rows with one id and different texts apart.
 
     h is 0 for ids that occur once, apart from few, as random bits would be most of what travels with a record.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    k = F.coalesce(F.col("doc_id").cast("long"), F.pmod(F.xxhash64(text), F.lit(NULLS)) + NULLS)
+    k = key_of(docs)
     often = materialize(docs.groupBy(k.alias("k")).count().filter("count > 1").select("k"))
-    rows = docs.select(k.alias("k"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    rows = docs.select(k.alias("k"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return marked(rows, often, "k").select("k", F.when(F.col("_in"), F.xxhash64("text")).otherwise(0).cast("long").alias("h"), "doc_id", "text")
 
 
@@ -143,7 +147,7 @@ def repeated_windows(rows: DataFrame, f: Finder, units_total: int) -> DataFrame:
 def with_windows(rows: DataFrame, found: DataFrame) -> DataFrame:
     """rows with `hits`, a list or null; texts without hits stay where they are, apart from few."""
     hit = among(rows, found, "k").join(grown(_collected(found)), ["k", "h"], "left")
-    return hit.unionByName(marked(rows, found, "k").filter("not _in").drop("_in").withColumn("hits", F.lit(None).cast("array<binary>")))
+    return hit.unionByName(apart_from(rows, found, "k").withColumn("hits", F.lit(None).cast("array<binary>")))
 
 
 def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
