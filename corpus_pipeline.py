@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import decontam, langid, mixing, ngram_jaccard, sst
-from tickloom.llm.common import bounded_batches, documents, materialize
+from tickloom.llm.common import bounded_batches, discard, documents, fresh, grown, materialize
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,11 +27,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, to the nearest whole number; a repeat is a row more."""
-    taken = mixing.mix(docs).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    times = taken.withColumn("times", F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")).filter("times > 0")
-    times = materialize(times.select(F.col("doc_id").alias("id"), "times"))
-    rows = docs.join(times, F.col("doc_id").eqNullSafe(F.col("id")))
-    return rows.withColumn("n", F.explode(F.sequence(F.lit(1), "times"))).select(*docs.columns)
+    doc, times, place = fresh(docs, "doc"), fresh(docs, "times"), fresh(docs, "place")
+    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias(doc)).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    rounded = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")
+    counts = materialize(taken.select(doc, rounded.alias(times)).filter(F.col(times) > 0), release=True)
+    rows = docs.join(grown(counts), F.col("doc_id").eqNullSafe(F.col(doc)))
+    return rows.withColumn(place, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,5 +58,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, over the whole of documents."""
     docs = documents(spark, sf_dir)
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), release=True)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), release=True)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
