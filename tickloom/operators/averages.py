@@ -406,7 +406,7 @@ def EhlersTriangleMovingAverage(s, x, n=20):
     return s.fir(x, [j if j < n / 2 else n + 1 - j if j > n / 2 else n / 2 for j in range(1, n + 1)])
 
 
-@average("Shmma", name="SharpModifiedMovingAverage")
+@average("Smma", name="SharpModifiedMovingAverage")
 def SharpModified(s, x, n=14, ma=SMA):
     tilt = s.fir(x, [(n - (1 + 2 * j)) / 2 for j in range(n)], 1.0)
     return s.let(s.ma(ma, x, n) + tilt * (6 / ((n + 1) * n)))

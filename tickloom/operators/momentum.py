@@ -133,7 +133,7 @@ def MacZIndicator(s, ma=SMA, fast=12, slow=25, signal=9, n=25, mult=1.0):
 def MacZVwapIndicator(s, ma=SMA, fast=12, slow=25, signal=9, n1=20, n2=25, gamma=0.02):
     sd = s.sd(s.x, n2, ma)
     m = s.ma(ma, s.x, fast) - s.ma(ma, s.x, slow)
-    z = s.run("ZDistanceFromVwapIndicator", n=n1).value
+    z = s.of("ZDistanceFromVwapIndicator", s.ma(ma, s.x, slow), n=n1).value
     t = s.let(z + div(m, sd))
     a, b, c, d = laguerre(s, t, 1 - gamma)
     return lines(s, "Macz", (a + b * 2 + c * 2 + d) / 6, ma, signal)
@@ -297,7 +297,8 @@ def streak(s, x):
 
 
 def connors(s, ma=WILDER, n1=2, n2=3, n3=100):
-    r, c = s.rsi(s.x, n2, ma), s.roc(s.x, n3)
+    r = s.rsi(s.x, n2, ma)
+    c = s.roc(r, n3)
     count = lit(0.0)
     for j in range(1, n3):  # the row itself does not count once the window is full
         count = count + where((s.rn > j) & (s.lag(c, j) <= c), 1.0, 0.0)
@@ -748,7 +749,7 @@ def DemarkReversalPoints(s, n1=9, n2=4):
 
 @indicator("Momentum")
 def DemarkSetupIndicator(s, n=4):
-    return _run(s, "Drp", n, n)
+    return _run(s, "Dsi", n, n)
 
 
 @indicator("Momentum")

@@ -32,7 +32,7 @@ def ups(s, x, k=1):
 
 
 def cci(s, n, ma=SMA, constant=0.015):
-    p = s.let(s.typical)
+    p = s.run("TypicalPrice").value
     m = s.ma(ma, p, n)
     return s.let(div(p - m, s.ma(ma, abs_(p - m), n) * constant))
 
@@ -360,7 +360,8 @@ def McClellanOscillator(s, ma=EMA, fast=19, slow=39, signal=9, mult=1000.0):
 
 @indicator("Momentum")
 def WoodieCommodityChannelIndex(s, ma=SMA, fast=6, slow=14):
-    a, b = cci(s, fast, ma), cci(s, slow, ma)
+    b = s.of("CommodityChannelIndex", s.x, ma=ma, n=slow).value
+    a = s.of("CommodityChannelIndex", b, ma=ma, n=fast).value
     h = s.let(a - b)
     return s.result({"FastCci": a, "SlowCci": b, "Histogram": h}, s.compare(h), None)
 
@@ -464,14 +465,19 @@ def InsyncIndex(s, ma=SMA, sma=10, divisor=10000.0):
         m = s.avg(s.let(e), sma)
         return where(e - m > 0, where(m > 0, 5.0, 0.0), where(m < 0, -5.0, 0.0))
 
-    st = s.run("StochasticOscillator", n=14, s1=1, s2=3).outputs
-    macd = s.run("MovingAverageConvergenceDivergence").value
-    dpo = s.run("DetrendedPriceOscillator", n=18).value
-    roc = s.roc(s.x, 10)
-    emv = s.run("EaseOfMovement", n=14, divisor=divisor).value
-    bb = s.run("BollingerBandsPercentB").value
-    y = 50 + level(cci(s, 14), 100, -100) + where(bb < 0.05, -5.0, where(bb > 0.95, 5.0, 0.0)) + level(s.rsi(s.x, 14), 70, 30)
-    y = y + level(st["FastD"], 80, 20) + level(st["SlowD"], 80, 20) + level(mfi(s, 20), 80, 20) + side(emv) + side(roc) + side(macd)
+    # each part reads the one before it
+    rsi = s.rsi(s.x, 14)
+    c = s.of("CommodityChannelIndex", rsi, n=14).value
+    money = s.of("MoneyFlowIndex", c, n=20).value
+    macd = s.of("MovingAverageConvergenceDivergence", money).value
+    bb = s.of("BollingerBandsPercentB", macd).value
+    dpo = s.of("DetrendedPriceOscillator", bb, n=18).value
+    roc = s.roc(dpo, 10)
+    k = s.of("StochasticOscillator", roc, n=14, s1=1, s2=3)
+    st = k.outputs
+    emv = s.of("EaseOfMovement", k.value, n=14, divisor=divisor).value
+    y = 50 + level(c, 100, -100) + where(bb < 0.05, -5.0, where(bb > 0.95, 5.0, 0.0)) + level(rsi, 70, 30)
+    y = y + level(st["FastD"], 80, 20) + level(st["SlowD"], 80, 20) + level(money, 80, 20) + side(emv) + side(roc) + side(macd)
     y = y + s.lag(s.let(side_up(dpo)), sma) + s.lag(s.let(side(dpo)), sma)
     return turned(s, "Iidx", y, 95, 5)
 
@@ -909,7 +915,7 @@ def VanillaABCDPattern(s):
 
 @indicator("Momentum")
 def ChartmillValueIndicator(s, ma=SMA, n=5):
-    a, f = s.let(s.atr(n, ma) * math.sqrt(n)), s.ma(ma, s.mid, n)
+    a, f = s.let(s.atr(n, ma, s.mid) * math.sqrt(n)), s.ma(ma, s.mid, n)
     c, o, h, l = (s.let(where(a.ne(0), clamp(div(e - f, a), 1, -1), 0.0)) for e in (s.close, s.open, s.high, s.low))
     return s.result({"Cmvc": c, "Cmvo": o, "Cmvh": h, "Cmvl": l}, s.crossing(c - s.lag(c, 1), c, 0.5, -0.5), None)
 
@@ -925,10 +931,13 @@ def QuasiWhiteNoise(s, ma=WILDER, n=20, noise=500, divisor=40.0):
 
 @indicator("Momentum")
 def UltimateMomentumIndicator(s, ma=SMA, n1=13, n2=19, n3=21, n4=39, n5=50, mult=1.5):
+    """%B reads the oscillator, and each flow what stands before it."""
     a, b, r = mcclellan(s, ma, n2, n4)
-    mo = s.ma(ma, r, n2) - s.ma(ma, r, n4)
-    bb = s.run("BollingerBandsPercentB", mult=mult, ma=ma, n=n5).value
-    u = s.let(bb * 200 + pct(a, b) + mo * 2 + mfi(s, n4) * 1.5 + mfi(s, n3) * 3 + mfi(s, n2) * 3)
+    mo = s.let(s.ma(ma, r, n2) - s.ma(ma, r, n4))
+    bb = s.of("BollingerBandsPercentB", mo, mult=mult, ma=ma, n=n5).value
+    f1 = s.of("MoneyFlowIndex", bb, n=n2).value
+    f2 = s.of("MoneyFlowIndex", f1, n=n3).value
+    u = s.let(bb * 200 + pct(a, b) + mo * 2 + s.of("MoneyFlowIndex", f2, n=n4).value * 1.5 + f2 * 3 + f1 * 3)
     y = s.ma(ma, s.rsi(u, n1, ma), n1)
     return s.result({"Utm": y}, s.compare(y - s.lag(y, 1)))
 

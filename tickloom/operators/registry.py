@@ -35,6 +35,7 @@ class Spec:
     category: str
     params: dict[str, object]
     average: bool
+    input: str = "bars"  # or "periods": bars of a coarser period; "pair": bars with those of a market beside them
 
 
 REGISTRY: dict[str, Spec] = {}
@@ -46,13 +47,13 @@ SMA, EMA, WMA, WILDER = "SimpleMovingAverage", "ExponentialMovingAverage", "Weig
 ALIASES = {"WildersSmoothingMethod": WILDER, "WildersSummationMethod": "WellesWilderSummation"}
 
 
-def indicator(category: str = "Trend", name: str | None = None):
+def indicator(category: str = "Trend", name: str | None = None, input: str = "bars"):
     """Registers f(s, **params) -> Result under its CamelCase name."""
 
     def add(f):
         n = name or f.__name__
         params = {k: p.default for k, p in list(inspect.signature(f).parameters.items())[1:]}
-        REGISTRY[n] = Spec(n, f, category, params, False)
+        REGISTRY[n] = Spec(n, f, category, params, False, input)
         return f
 
     return add

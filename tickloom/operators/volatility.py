@@ -433,7 +433,7 @@ def ForceIndex(s, ma=EMA, n=14):
 
 
 def mfi(s, n):
-    p = s.let(s.typical)
+    p = s.run("TypicalPrice").value
     f, last = s.let(p * s.volume), s.lag(p, 1)
     up, down = s.sum(s.let(where((s.rn > 1) & (p > last), f, 0.0)), n), s.sum(s.let(where((s.rn > 1) & (p < last), f, 0.0)), n)
     return s.let(rsi_of(up, down))
@@ -510,7 +510,7 @@ def EaseOfMovement(s, ma=SMA, n=14, divisor=1000000.0):
     m = s.let(r - s.lag(r, 1))
     y = s.let(div((m - s.lag(m, 1)) * divisor, div(s.volume, h - l)))
     a = s.ma(ma, y, n)
-    return s.result({"Eom": y, "Signal": a}, s.compare(y - s.ma(ma, a, n)))
+    return s.result({"Eom": y}, s.compare(y - s.ma(ma, a, n)))
 
 
 @indicator("Volume")

@@ -192,11 +192,10 @@ class Series:
         df = bars
         for kind, nodes in self.stages(list(outputs.values())):
             if kind == "w":
-                # the one spelling that differs between Spark and the SQL of the oracle
-                df = df.selectExpr("*", *(f"{n.expr.sql.replace(' ignore nulls) over', ') ignore nulls over')} as {n.name}" for n in nodes))
+                df = df.selectExpr("*", *(f"{_in_spark(n.expr.sql)} as {n.name}" for n in nodes))
             else:
                 df = scan_frame(df, nodes)
-        return df.selectExpr("symbol", "seq", *(f"{e.sql} as {k}" for k, e in outputs.items()))
+        return df.selectExpr("symbol", "seq", *(f"{e.sql} as `{k}`" for k, e in outputs.items()))
 
     def sql(self, bars: str, outputs: dict[str, E], digits: int = 4) -> str:
         """The same rows as DuckDB SQL over a query that gives bars; scans become recursive queries."""
@@ -223,10 +222,15 @@ class Series:
                 parts.append(f"r{k}(sym, r, {cols}) as ({first} union all {then})")
                 parts.append(f"b{k} as materialized (select {at}.*, {', '.join(f'v{n} as {n}' for n in names)} from {at} join r{k} on r{k}.sym = {at}.symbol and r{k}.r = {at}.rn)")
             at = f"b{k}"
-        cols = ", ".join(f"{e.sql if k == 'trade_signal' else rounded(e.sql, digits)} as {k}" for k, e in outputs.items())
+        cols = ", ".join(f"{e.sql if k == 'trade_signal' else rounded(e.sql, digits)} as \"{k}\"" for k, e in outputs.items())
         return f"with recursive {', '.join(parts)} select symbol, seq, {cols} from {at}"
 
 
+def _in_spark(sql: str) -> str:
+    """The spellings of window calls that differ between Spark and the SQL of the oracle."""
+    return re.sub(r"\bmedian\((\w+)\) over", r"percentile(\1, 0.5) over", sql.replace(" ignore nulls) over", ") ignore nulls over"))
+
+
 def rounded(sql: str, digits: int) -> str:
     """Rounding that two engines agree on: the shift keeps exact halves, which means of decimals often are, off the edge."""
     return f"round({sql} + 1.2345678e-{digits + 2}, {digits}) + 0e0"
