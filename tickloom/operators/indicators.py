@@ -10,7 +10,7 @@ from tickloom.functions.expr import E
 from tickloom.plans.series import rounded
 from tickloom.sources.bars import HOURLY_SQL, MARKET, PAIR_SQL, PERIODS_SQL, daily, daily_market, hourly, regroup, with_market
 
-from . import averages, channels, composites, cycles, market, momentum, oscillators, pivots, regressions, trend, volatility  # noqa: F401
+from . import averages, channels, composites, cycles, market, momentum, oscillators, pivots, regressions, spectral, trend, volatility  # noqa: F401
 from .registry import AVERAGES, REGISTRY, ChainError, Context, Result
 
 
