@@ -6,6 +6,8 @@ Arrow string buffers, so no Python object is made for a word.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import struct
@@ -73,6 +75,25 @@ def let_go(spark: SparkSession) -> None:
         spark._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Returns what a Python worker has freed to the system: workers live from task to task, beside each other."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def sparing(run: Callable) -> Callable:
+    """run over a task's batches, with give_back() behind it."""
+
+    def go(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return go
+
+
 def discard(df: DataFrame) -> None:
     """Deletes what materialize() wrote for df; only for tables that nothing reads again."""
     spark, path = df.sparkSession, getattr(df, "_tickloom_path", None)
@@ -82,7 +103,7 @@ def discard(df: DataFrame) -> None:
 
 
 #: Bytes of text that Spark hands to a Python worker at a time; Arrow holds a few times that, outside the heap.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -246,7 +267,7 @@ BLOB = "bucket int, blob binary"
 #: How a document is named in them: its id, and what tells rows of one id apart.
 ID = np.dtype([("id", "<i8"), ("h", "<i8")])
 #: Records that a task deals at a time.
-DEAL = 1_000_000
+DEAL = 500_000
 
 _NAMES = ("id", "h", "n", "step", "low", "high", "check", "bucket", "more", "key", "known", "p", "v", "k", "weight", "done")
 _TYPES = ("|u1", "<u2", "<u4", "<u8", "<i8", "|b1")
@@ -508,7 +529,10 @@ def exchange(entries: DataFrame, reduce: Callable, schema: str) -> DataFrame:
     """Groups blobs by bucket; reduce gets the records of one bucket and returns a pandas frame."""
 
     def one(pdf):
-        return reduce(gathered(pdf["blob"]))
+        try:
+            return reduce(gathered(pdf["blob"]))
+        finally:
+            give_back()
 
     return entries.groupBy("bucket").applyInPandas(one, schema)
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _RI, among, apart_from, chunks, fresh, grown, id_table, materialize, mix, powers, prefix_hash, span_hash
+from .common import _RI, among, apart_from, chunks, fresh, grown, id_table, materialize, mix, powers, prefix_hash, span_hash, sparing
 from .windows import key_of, keyed
 
 #: Tokens of a window; literal tokens among them at least; windows of an item on one diagonal (or all it has).
@@ -141,7 +141,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
                 key = np.unique(key)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array([i] * len(key), batch.schema.field(0).type), pa.array([size] * len(key), pa.int32()), pa.array([exact] * len(key), pa.bool_())], names=["key", "item_id", "size", "exact"])
 
-    return benchmark.select("item_id", "text").mapInArrow(run, f"key long, item_id {dict(benchmark.dtypes)['item_id']}, size int, exact boolean")
+    return benchmark.select("item_id", "text").mapInArrow(sparing(run), f"key long, item_id {dict(benchmark.dtypes)['item_id']}, size int, exact boolean")
 
 
 def _hits(rows: DataFrame, items: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def _hits(rows: DataFrame, items: DataFrame) -> DataFrame:
                 docs, found = docs[new], found[new]
                 yield pa.RecordBatch.from_arrays([pa.array(ids["id"][docs]), pa.array(ids["h"][docs]), pa.array(found.view(np.int64))], names=["k", "h", "key"])
 
-    found = rows.select("k", "h", "text").mapInArrow(run, "k long, h long, key long")
+    found = rows.select("k", "h", "text").mapInArrow(sparing(run), "k long, h long, key long")
     return found if sent is not None else found.join(keys, "key", "left_semi").select("k", "h", "key")
 
 
@@ -253,7 +253,7 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             n = [matched(i.as_py().encode(), t.as_py().encode(), lexicon) for t, i in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (4, 5, 0, 1)), pa.array(n, pa.int64())], names=["k", "text_hash", "doc_id", "item_id", "n_windows"])
 
-    found = both.mapInArrow(run, f"k long, text_hash long, doc_id long, item_id {dict(benchmark.dtypes)['item_id']}, n_windows long")
+    found = both.mapInArrow(sparing(run), f"k long, text_hash long, doc_id long, item_id {dict(benchmark.dtypes)['item_id']}, n_windows long")
     return found.filter("n_windows > 0")
 
 

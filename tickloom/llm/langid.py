@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, owners
+from .common import chunks, owners, sparing
 
 ORDER = 3
 UNIT = 1024
@@ -74,7 +74,7 @@ def gram_counts(docs: DataFrame, languages: list[str]) -> DataFrame:
                 key, n = np.unique(lang[owners(offs)] << 32 | grams(data, offs), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key >> 32), pa.array(key & 0xFFFFFFFF), pa.array(n.astype(np.int64))], names=["k", "gram", "n"])
 
-    return docs.select("text", "lang").mapInArrow(run, "k long, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n"))
+    return docs.select("text", "lang").mapInArrow(sparing(run), "k long, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n"))
 
 
 class PpmModel:
@@ -165,7 +165,7 @@ def identify(docs: DataFrame, model: PpmModel | None) -> DataFrame:
     rows = docs.select("doc_id", F.col("text"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), lettered.alias("lettered"))
     if model is None:
         return rows.select("doc_id", "held_out", F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"))
-    out = rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, lettered boolean, lang_pred string, score double")
+    out = rows.mapInArrow(sparing(run), f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, lettered boolean, lang_pred string, score double")
     return out.select("doc_id", "held_out", F.when(F.col("lettered"), F.col("lang_pred")).otherwise(UND).alias("lang_pred"), F.when(F.col("lettered"), F.col("score")).otherwise(0.0).alias("score"))
 
 
@@ -188,4 +188,4 @@ def kept_languages(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
     if model is None:
         return docs.limit(0)
-    return docs.filter(docs.columns[at] + r" rlike '\\p{L}'").mapInArrow(run, schema)
+    return docs.filter(docs.columns[at] + r" rlike '\\p{L}'").mapInArrow(sparing(run), schema)

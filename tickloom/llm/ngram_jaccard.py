@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB, among, apart_from, bucket_count, chunks, dealt, exchange, grown, id_table, materialize, mix, owners, pack, repeated, unpack, without, words
+from .common import BLOB, among, apart_from, bucket_count, chunks, dealt, exchange, grown, id_table, materialize, mix, owners, pack, repeated, sparing, unpack, without, words
 from .components import components
 from .windows import NULLS, keyed
 
@@ -144,7 +144,7 @@ def fingerprints(rows: DataFrame) -> DataFrame:
                 columns = [*(some.column(i) for i in range(3)), pa.array(np.diff(offs)), pa.array(np.diff(x).view(np.int64)), pa.array(np.diff(y).view(np.int64)), pa.array(sketches(v, offs), pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in PRINT.split(", ")])
 
-    return rows.select("k", "h", "doc_id", "text").mapInArrow(run, PRINT)
+    return rows.select("k", "h", "doc_id", "text").mapInArrow(sparing(run), PRINT)
 
 
 def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -168,7 +168,7 @@ def near(pairs: DataFrame, prints: DataFrame) -> DataFrame:
             ok = possible(apart(x, y), batch.column(2).to_numpy(), batch.column(3).to_numpy())
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(sparing(run), "a long, b long").distinct()
 
 
 def _postings(rows: DataFrame, most: int, buckets: int) -> DataFrame:
@@ -190,7 +190,7 @@ def _postings(rows: DataFrame, most: int, buckets: int) -> DataFrame:
         hit = repeated(r)
         return pd.DataFrame({"key": r["key"][hit].view(np.int64), "k": r["ids"]["id"][r["doc"][hit]]})
 
-    entries = rows.select("k", "h", "text").mapInArrow(lambda batches: dealt(parts(batches), buckets, keep=True), BLOB)
+    entries = rows.select("k", "h", "text").mapInArrow(sparing(lambda batches: dealt(parts(batches), buckets, keep=True)), BLOB)
     return exchange(entries, reduce, "key long, k long")
 
 
@@ -216,7 +216,7 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
                     keep.append(common > 0 and DEN * common >= NUM * (len(x) + len(y) - common))
                 yield some.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(sparing(run), "a long, b long")
 
 
 def _block_pairs(large: DataFrame, prints: DataFrame) -> DataFrame:
@@ -243,7 +243,7 @@ def _block_pairs(large: DataFrame, prints: DataFrame) -> DataFrame:
                 i, j = np.nonzero(ok)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(kx[i], ky[j])), pa.array(np.maximum(kx[i], ky[j]))], names=["a", "b"])
 
-    return meets.mapInArrow(run, "a long, b long")
+    return meets.mapInArrow(sparing(run), "a long, b long")
 
 
 SETS = "component long, own long, blocks long, sets binary"
@@ -307,11 +307,11 @@ def link_counts(classes: DataFrame, rows: DataFrame) -> DataFrame:
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, dtype=np.int64)) for c in out], names=["rep", "rep_h", "others"])
 
-    packed = materialize(packed.mapInArrow(sets, SETS), release=True)
+    packed = materialize(packed.mapInArrow(sparing(sets), SETS), release=True)
     left = packed.filter("own + 1 < blocks").select("component", F.explode(F.sequence(F.col("own") + 1, F.col("blocks") - 1)).alias("own"), F.col("sets").alias("x"))
     meets = left.join(packed.select("component", "own", F.col("sets").alias("y")), ["component", "own"]).select("x", "y")
     meets = packed.select(F.col("sets").alias("x"), F.lit(None).cast("binary").alias("y")).union(meets)
-    return meets.mapInArrow(run, "rep long, rep_h long, others long").groupBy("rep", "rep_h").agg(F.sum("others").alias("others"))
+    return meets.mapInArrow(sparing(run), "rep long, rep_h long, others long").groupBy("rep", "rep_h").agg(F.sum("others").alias("others"))
 
 
 def linked(docs: DataFrame, counted: bool = True) -> DataFrame:

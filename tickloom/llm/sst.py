@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, partitions, shared_dir  # noqa: F401
+from .common import materialize, partitions, shared_dir, sparing
 
 MAGIC = b"TLSST001"
 FOOTER = struct.Struct("<QQQQQQI8s")
@@ -277,9 +277,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
             close()
         yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.int64())], names=["shard", "n_docs", "n_tokens"])
 
-    from .common import materialize
-
-    return materialize(parts.mapInArrow(run, "shard string, n_docs long, n_tokens long"))
+    return materialize(parts.mapInArrow(sparing(run), "shard string, n_docs long, n_tokens long"))
 
 
 def read_shards(spark, path: str) -> DataFrame:
@@ -295,7 +293,7 @@ def read_shards(spark, path: str) -> DataFrame:
                     offs = np.cumsum([0, *(len(x[1]) for x in some)]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array(range(a, a + len(some)), pa.int64()), pa.array([x[0] for x in some], pa.int64()), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))], names=["shard", "place", "doc_id", "ids"])
 
-    return _files(spark, path).mapInArrow(run, "shard string, place long, doc_id long, ids array<int>")
+    return _files(spark, path).mapInArrow(sparing(run), "shard string, place long, doc_id long, ids array<int>")
 
 
 def _files(spark, path: str) -> DataFrame:
@@ -317,7 +315,7 @@ def digests(spark, path: str, manifest: DataFrame) -> DataFrame:
                 sizes = np.array(sizes, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids)), pa.array(ids, pa.int64()), pa.array(np.cumsum(sizes) - sizes), pa.array(sizes), pa.array(crc, pa.int64())], names=["shard", "doc_id", "before", "n_tokens", "ids_crc32"])
 
-    per_doc = _files(spark, path).mapInArrow(run, "shard string, doc_id long, before long, n_tokens long, ids_crc32 long")
+    per_doc = _files(spark, path).mapInArrow(sparing(run), "shard string, doc_id long, before long, n_tokens long, ids_crc32 long")
     # one row a shard meets in one task here: some dozen bytes for each SHARD_BYTES of the corpus
     bases = manifest.select("shard", (F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")).alias("base"))
     return per_doc.join(bases, "shard").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB, SLOTS, WHOLE, among, apart_from, as_slots, bucket_count, by_document, chunks, dealt, exchange, grown, id_table, marked, materialize, not_least, owners, positions, repeated, without
+from .common import BLOB, SLOTS, WHOLE, among, apart_from, as_slots, bucket_count, by_document, chunks, dealt, exchange, grown, id_table, marked, materialize, not_least, owners, positions, repeated, sparing, without
 
 
 def difference_cover(p: int) -> tuple[int, np.ndarray]:
@@ -97,7 +97,7 @@ def _anchors(rows: DataFrame, f: Finder, buckets: int) -> DataFrame:
                 at = np.flatnonzero(f.residue[place % f.v] & (place + f.anchor <= np.diff(offs)[own]))
                 yield name(at, f.anchor)[0], own[at], place[at], id_table(some), None  # the second pass decides
 
-    return rows.select("k", "h", "text").mapInArrow(lambda batches: dealt(parts(batches), buckets), BLOB)
+    return rows.select("k", "h", "text").mapInArrow(sparing(lambda batches: dealt(parts(batches), buckets)), BLOB)
 
 
 def _candidates(rows: DataFrame, f: Finder, buckets: int) -> DataFrame:
@@ -116,7 +116,7 @@ def _candidates(rows: DataFrame, f: Finder, buckets: int) -> DataFrame:
                 key, check = name(at, f.width, True)
                 yield key, own[at], at - offs[own[at]], id_table(some), check
 
-    return rows.select("k", "h", "text", "hits").mapInArrow(lambda batches: dealt(parts(batches), buckets, least=f.least), BLOB)
+    return rows.select("k", "h", "text", "hits").mapInArrow(sparing(lambda batches: dealt(parts(batches), buckets, least=f.least)), BLOB)
 
 
 def repeated_windows(rows: DataFrame, f: Finder, units_total: int) -> DataFrame:
@@ -172,4 +172,4 @@ def digest(rows: DataFrame, one: Callable, schema: str) -> DataFrame:
 
     names = [x.split()[0] for x in schema.split(",")]
     types = [{"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[x.split()[1]] for x in schema.split(",")]
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "hits").mapInArrow(run, f"doc_id long, {schema}")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "hits").mapInArrow(sparing(run), f"doc_id long, {schema}")
