@@ -6,6 +6,7 @@ are hashes of triples, recursively (a name of 3**(k+1) bytes is made of three na
 global ranks: neighbours in the order of their names are equal or not, just as in a suffix array. Sampled
 places are those of a difference cover; records are dealt by name, sorted within a task and compared with
 their neighbour; and only suffixes next to a repeated sample are named in full and compared in the same way.
+So no ranks are made and no suffixes are merged through ranks; the passes are those of windows.py, over bytes.
 """
 
 from __future__ import annotations
