@@ -127,6 +127,14 @@ ceil = _call("cast(ceil({0}) as double)", "float(_ceil({0}))")
 sign = _call("case when {0} > 0 then 1e0 when {0} < 0 then -1e0 else 0e0 end", "_sign({0})")
 
 
+#: The limit of k = v k (2 - k) from 1, up to a step of 1e-5; only scans can run it.
+gain = _call("gain({0})", "_gain({0})")
+#: The first whole number from {0} to {1} without a divisor from 2 to {2}, 0 if there is none; only scans can run it.
+undivided = _call(
+    "coalesce(list_filter(range(cast({0} as bigint), cast({1} + sign({1} - {0} + 0.5e0) as bigint), cast(sign({1} - {0} + 0.5e0) as bigint)), lambda j: len(list_filter(range(2, cast({2} as bigint) + 1), lambda k: j % k = 0)) = 0)[1], 0) + 0e0",
+    "_undivided({0}, {1}, {2})",
+)
+
 #: A slope that is 0 but for the last bits counts as 0, whatever the order of its sums.
 settled = _call("round({0}, 9)", "round({0}, 9)")
 
@@ -153,6 +161,19 @@ def _pow(a, b):
     return out
 
 
+def _gain(v):
+    k, step = 1.0, 1.0
+    while step > 1e-5:
+        after = v * k * (2 - k)
+        k, step = after, k - after
+    return k
+
+
+def _undivided(a, b, root):
+    way = 1 if b >= a else -1
+    return next((float(j) for j in range(int(a), int(b) + way, way) if all(j % k for k in range(2, int(root) + 1))), 0.0)
+
+
 #: What the Python text of an expression may call.
 PYTHON = {
     "_div": lambda a, b, z: a / b if b != 0 else z,
@@ -169,5 +190,7 @@ PYTHON = {
     "_floor": math.floor,
     "_ceil": math.ceil,
     "_sign": lambda x: 1.0 if x > 0 else -1.0 if x < 0 else 0.0,
+    "_gain": _gain,
+    "_undivided": _undivided,
     "math": math,
 }

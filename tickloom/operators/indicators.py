@@ -10,7 +10,7 @@ from tickloom.functions.expr import E
 from tickloom.plans.series import rounded
 from tickloom.sources.bars import HOURLY_SQL, MARKET, PAIR_SQL, PERIODS_SQL, daily, daily_market, hourly, regroup, with_market
 
-from . import averages, channels, composites, cycles, market, momentum, oscillators, pivots, regressions, spectral, trend, volatility  # noqa: F401
+from . import averages, channels, composites, cycles, market, momentum, oscillators, pivots, recursions, regressions, spectral, trend, volatility  # noqa: F401
 from .registry import AVERAGES, REGISTRY, ChainError, Context, Result
 
 
@@ -75,7 +75,18 @@ def catalog(spark: SparkSession) -> DataFrame:
 
 
 #: Indicators whose recursion is too deep for a recursive query to end; loops in the tests stand in for the SQL.
-NO_SQL = {"EhlersAdaptiveLaguerreFilter"}
+NO_SQL = {
+    "AutoLineWithDrift",
+    "CorrectedMovingAverage",
+    "EhlersAdaptiveBandPassFilter",
+    "EhlersAdaptiveLaguerreFilter",
+    "EhlersDominantCycleTunedBypassFilter",
+    "EhlersRestoringPullIndicator",
+    "FisherLeastSquaresMovingAverage",
+    "PercentageTrend",
+    "R2AdaptiveRegression",
+    "RecursiveRelativeStrengthIndex",
+}
 
 #: Decimals that queries keep, as sums in another order differ in the last bits.
 DIGITS = 4
