@@ -74,14 +74,12 @@ def catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "name string, category string, parameters string, is_average boolean")
 
 
-#: Indicators whose recursion is too deep for a recursive query to end; loops in the tests stand in for the SQL.
+#: Indicators whose recursion is too deep for a recursive query, or has steps that SQL can't loop over.
 NO_SQL = {
     "AutoLineWithDrift",
     "CorrectedMovingAverage",
     "EhlersAdaptiveBandPassFilter",
     "EhlersAdaptiveLaguerreFilter",
-    "EhlersDominantCycleTunedBypassFilter",
-    "EhlersRestoringPullIndicator",
     "FisherLeastSquaresMovingAverage",
     "PercentageTrend",
     "R2AdaptiveRegression",

@@ -8,7 +8,7 @@ from tickloom.functions.expr import E, abs_, clamp, cos, div, exp, gain, lit, lo
 
 from .composites import nearest
 from .cycles import PI, _alpha, _unit, median
-from .registry import EMA, SMA, Context, average, indicator
+from .registry import SMA, Context, average, indicator
 from .spectral import gained, periodogram, roofing
 
 
@@ -264,27 +264,6 @@ def EhlersSpectrumDerivedFilterBank(s, low=8, high=50, n1=40, n2=10):
     return s.result({"Esdfb": d}, s.compare(y))
 
 
-def _angle(size: E, circle: E | float) -> E:
-    return where(size.ne(0), clamp(div(circle, size), 0.99, 0.01), 0.99)
-
-
-@indicator("Momentum")
-def EhlersDominantCycleTunedBypassFilter(s, low=8, high=50, n1=40, n2=10):
-    d, y = _bank(s, low, high, n1, n2)
-    b, a = s.let(cos(_angle(d, 2 * PI))), s.let(_damping(_angle(d, _delta(s) * (4 * PI))))
-    u = s.let((y - s.lag(y, 1)) * (1 - a) * 0.5)
-    v1 = s.rec2(lambda p, q: u + p * b * (a + 1) - q * a)
-    v2 = s.let((v1 - s.lag(v1, 1)) * d * (2 / PI))
-    return s.result({"V1": v1, "V2": v2}, s.when((v2 > v1) & (v2 >= 0), (v2 < v1) | (v2 < 0)), None)
-
-
-@indicator("Volume")
-def EhlersRestoringPullIndicator(s, ma=EMA, low=8, high=50, n1=40, n2=10):
-    r = s.let(s.volume * sq(s.let(_angle(_bank(s, low, high, n1, n2)[0], 2 * PI))))
-    m = s.ma(ma, r, low)
-    return s.result({"Rpi": r, "Signal": m}, s.compare(r - m, True))
-
-
 @indicator("Cycle")
 def EhlersCombFilterSpectralEstimate(s, n1=48, n2=10, bw=0.3):
     """Powers are sums of the positive values of the longest period's filter."""
