@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchors, decontam, langid, mixing, ngram_jaccard, quality, secrets, sst, suffixes, token_counts
+from . import anchors, decontam, langid, mixing, ngram_jaccard, pieces, quality, secrets, sst, suffixes, token_counts
 from .common import documents
 
 
@@ -87,11 +87,19 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sst.token_output(documents(spark, sf_dir), _path("byte_bpe_50k.json"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256. A null text counts as empty: no ids, the digests are those of the
+    empty string; ids may be null or repeated; other columns are not read.
+    """
+    return pieces.digests(pieces.encode(documents(spark, sf_dir), _path("piece_bpe_32k.model")), _path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard, op2_token_counts, op3_source_mix, op4_language_id, op5_secret_scan,
         op6_suffix_dedup, op7_decontamination, op8_anchor_dedup, op9_quality_rules, op10_token_shards,
+        op11_sentencepiece,
     )
 }
 
