@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchors, decontam, langid, mixing, ngram_jaccard, pieces, quality, secrets, sst, suffixes, token_counts
-from .common import documents
+from . import anchors, conversations, decontam, langid, mixing, ngram_jaccard, pieces, quality, secrets, sst, suffixes, token_counts
+from .common import bounded_batches, documents
 
 
 def _path(name: str) -> str:
@@ -94,12 +94,20 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode(documents(spark, sf_dir), _path("piece_bpe_32k.model")), _path("piece_bpe_32k.model"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256 after the damage. A null role or
+    text reads as one space; rows of one turn stand in order of role and text; a null conv_id is one conversation.
+    """
+    bounded_batches(spark)
+    return conversations.repair(conversations.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard, op2_token_counts, op3_source_mix, op4_language_id, op5_secret_scan,
         op6_suffix_dedup, op7_decontamination, op8_anchor_dedup, op9_quality_rules, op10_token_shards,
-        op11_sentencepiece,
+        op11_sentencepiece, op12_conversation_repair,
     )
 }
 
