@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchors, conversations, decontam, langid, mixing, ngram_jaccard, pieces, quality, secrets, sst, suffixes, token_counts
+from . import anchors, collocations, conversations, decontam, langid, mixing, ngram_jaccard, pieces, quality, secrets, sst, suffixes, token_counts
 from .common import bounded_batches, documents
 
 
@@ -102,12 +102,19 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang, rank, phrase, a, l, r, n, score: 2000 phrases of a language at most. A null text has no words, a null lang
+    is `und`; repeated rows count each for itself; ids are not read.
+    """
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard, op2_token_counts, op3_source_mix, op4_language_id, op5_secret_scan,
         op6_suffix_dedup, op7_decontamination, op8_anchor_dedup, op9_quality_rules, op10_token_shards,
-        op11_sentencepiece, op12_conversation_repair,
+        op11_sentencepiece, op12_conversation_repair, op13_collocations,
     )
 }
 
