@@ -7,8 +7,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.functions.expr import E
+from tickloom.plans.segments import in_segments, segmented
 from tickloom.plans.series import rounded
-from tickloom.sources.bars import HOURLY_SQL, MARKET, PAIR_SQL, PERIODS_SQL, daily, daily_market, hourly, regroup, with_market
+from tickloom.sources.bars import HOURLY_SQL, MARKET, MARKET_SQL, PAIR_SQL, PERIODS_SQL, daily, daily_market, hourly, regroup, with_market
 
 from . import averages, channels, composites, cycles, market, momentum, oscillators, pivots, recursions, regressions, spectral, trend, volatility  # noqa: F401
 from .registry import AVERAGES, REGISTRY, ChainError, Context, Result
@@ -45,10 +46,16 @@ class Indicators:
         self.last = spec.run(self.context, **params)
         return self
 
-    def frame(self) -> DataFrame:
-        """symbol, seq, the last indicator's outputs and its signal."""
+    def frame(self, segment_rows: int | None = None) -> DataFrame:
+        """symbol, seq, the last indicator's outputs and its signal.
+
+        With `segment_rows`, series are cut into segments of so many rows that run side by side: for symbols with
+        millions of rows. Without, a symbol is the unit of parallelism.
+        """
         if self.last is None:
             raise ValueError("no indicator was asked for")
+        if segment_rows:
+            return segmented(self.context, self.bars, columns(self.last), segment_rows)
         return self.context.frame(self.bars, columns(self.last))
 
 
@@ -63,9 +70,15 @@ def columns(result: Result) -> dict[str, E]:
     return out | ({"trade_signal": result.signal} if result.signal is not None else {})
 
 
-def indicator(bars: DataFrame, name: str, market: DataFrame | None = None, period: str = "day", **params) -> DataFrame:
+def indicator(bars: DataFrame, name: str, market: DataFrame | None = None, period: str = "day", segment_rows: int | None = None, **params) -> DataFrame:
     """One indicator over bars."""
-    return Indicators(bars, market=market, period=period).then(name, **params).frame()
+    return Indicators(bars, market=market, period=period).then(name, **params).frame(segment_rows)
+
+
+def splits(name: str, **params) -> bool:
+    """Whether all of an indicator runs in segments: its recursions, if any, are affine in their last values."""
+    s = Context(MARKET if REGISTRY[name].input == "pair" else ())
+    return in_segments(s, columns(REGISTRY[name].run(s, **params)))
 
 
 def catalog(spark: SparkSession) -> DataFrame:
@@ -112,10 +125,33 @@ def oracle(name: str) -> str:
     return s.sql({"bars": HOURLY_SQL, "periods": PERIODS_SQL, "pair": PAIR_SQL}[kind], columns(REGISTRY[name].run(s)), DIGITS)
 
 
+#: Indicators that are also registered over one long series, cut into segments.
+SEGMENTED = ("SimpleMovingAverage", "ExponentialMovingAverage", "WellesWilderMovingAverage", "RelativeStrengthIndex", "MovingAverageConvergenceDivergence", "BollingerBands", "AverageTrueRange", "KaufmanAdaptiveMovingAverage")
+#: Rows of a segment in these queries; few, as the series of the test tables are short.
+SEGMENT_ROWS = 512
+
+
+def segment_query(name: str):
+    """The indicator over the days of all orders, one series, in segments."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        s = Context()
+        out = columns(REGISTRY[name].run(s))
+        df = segmented(s, daily_market(spark, sf_dir), out, SEGMENT_ROWS)
+        return df.selectExpr("symbol", "seq", *(k if k == "trade_signal" else f"{rounded(f'`{k}`', DIGITS)} as `{k}`" for k in out))
+
+    return run
+
+
+def segment_oracle(name: str) -> str:
+    s = Context()
+    return s.sql(MARKET_SQL, columns(REGISTRY[name].run(s)), DIGITS)
+
+
 def query_name(name: str) -> str:
     """SimpleMovingAverage -> simple_moving_average."""
     out = re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_", name).lower()
     return f"ta_{out}"
 
 
-__all__ = ["AVERAGES", "REGISTRY", "ChainError", "Indicators", "catalog", "indicator", "oracle", "query", "query_name"]
+__all__ = ["AVERAGES", "REGISTRY", "SEGMENTED", "ChainError", "Indicators", "catalog", "indicator", "oracle", "query", "query_name", "segment_oracle", "segment_query", "splits"]

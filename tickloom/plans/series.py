@@ -29,6 +29,9 @@ class Node:
     init: float = 0.0
     names: frozenset[str] = field(default_factory=frozenset)
     group: tuple[str, ...] = ()  # the columns of one scan
+    reach: int | None = 0  # rows before this one that a window reads; None: all so far, or all there are
+    call: str = ""  # the aggregate of a window that reaches over all rows, with {} for its argument
+    arg: E | None = None
 
 
 def _renamed(sql: str, names: dict[str, str]) -> str:
@@ -51,12 +54,12 @@ class Series:
         #: Rows before this one.
         self.i = self.rn - 1
 
-    def _name(self, kind: str, e: E, init: float = 0.0, fixed: str | None = None) -> E:
+    def _name(self, kind: str, e: E, init: float = 0.0, fixed: str | None = None, reach: int | None = 0, call: str = "", arg: E | None = None) -> E:
         key = f"{kind}|{e.sql}|{init}"
         if key not in self.known:
             name = fixed or self._new()
             self.known[key] = name
-            self.nodes[name] = Node(name, kind, e, init, e.names)
+            self.nodes[name] = Node(name, kind, e, init, e.names, (), reach, call, arg)
         return col(self.known[key])
 
     def _new(self) -> str:
@@ -84,7 +87,7 @@ class Series:
     def over(self, call: str, e: E, n: int | None = None) -> E:
         """An aggregate over the last n rows, or over all rows so far."""
         frame = "unbounded preceding" if n is None else f"{int(n) - 1} preceding"
-        return self._name("w", E(f"{call.format(e.sql)} over ({BY} rows between {frame} and current row)", "", e.names))
+        return self._name("w", E(f"{call.format(e.sql)} over ({BY} rows between {frame} and current row)", "", e.names), reach=None if n is None else int(n) - 1, call=call, arg=e)
 
     def sum(self, e: E, n: int | None = None) -> E:
         return self.over("sum({})", lit(e), n)
@@ -101,12 +104,12 @@ class Series:
 
     def last(self, e: E, test: E) -> E:
         """The value of e on the last row, this one included, where test held; 0 before."""
-        held = self._name("w", E(f"last_value(case when {test.sql} then {e.sql} end ignore nulls) over ({BY} rows between unbounded preceding and current row)", "", e.names | test.names))
+        held = self._name("w", E(f"last_value(case when {test.sql} then {e.sql} end ignore nulls) over ({BY} rows between unbounded preceding and current row)", "", e.names | test.names), reach=None, call="last", arg=E(f"case when {test.sql} then {e.sql} end"))
         return E(f"coalesce({held.sql}, 0e0)", f"({held.py} or 0.0)", held.names)
 
     def whole(self, call: str, e: E) -> E:
         """An aggregate over all rows of the symbol, later ones too."""
-        return self._name("w", E(f"{call.format(e.sql)} over (partition by symbol)", "", e.names))
+        return self._name("w", E(f"{call.format(e.sql)} over (partition by symbol)", "", e.names), reach=None, call="whole " + call, arg=e)
 
     def lag(self, e: E, k: int = 1, default: E | float = 0.0) -> E:
         """e of k rows ago; `default` where there is none."""
@@ -117,7 +120,7 @@ class Series:
             for _ in range(k):  # a scan hands its last value on, without a second pass
                 e = self._name("s", E(f"_old({self.let(e).sql})", f"_old({self.let(e).py})", self.let(e).names), float(default))
             return e
-        out = self._name("w", E(f"lag({e.sql}, {int(k)}) over ({BY})", "", e.names))
+        out = self._name("w", E(f"lag({e.sql}, {int(k)}) over ({BY})", "", e.names), reach=int(k))
         d = lit(default)
         return E(f"coalesce({out.sql}, {d.sql})", f"({out.py} if {out.py} is not None else {d.py})", out.names | d.names)
 

@@ -5,19 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tickloom.plans.segments import numbered
+
 COLUMNS = ("symbol", "seq", "ts", "open", "high", "low", "close", "volume")
 
 
-def to_bars(df: DataFrame, symbol: str = "symbol", ts: str = "ts", seq: str | None = None, **names: str) -> DataFrame:
+def to_bars(df: DataFrame, symbol: str = "symbol", ts: str = "ts", seq: str | None = None, block: str | None = None, **names: str) -> DataFrame:
     """Bars from a table with the price columns (or those that `names` maps to them).
 
     Rows with a null price or volume are left out. Without a seq column the others are numbered in order of ts
-    within the symbol, bars of one time in the order of their prices and volume.
+    within the symbol, bars of one time in the order of their prices and volume. With `block` (minute, hour, day,
+    month, ...) they are numbered within each such time and the blocks counted, so that no task sorts a whole symbol.
     """
     prices = [F.col(names.get(c, c)).cast("double").alias(c) for c in COLUMNS[3:]]
     given = [F.col(seq).cast("long").alias("seq")] if seq else []
     rows = df.select(F.col(symbol).cast("string").alias("symbol"), *given, F.col(ts).cast("timestamp").alias("ts"), *prices).na.drop(subset=list(COLUMNS[3:]))
-    if not seq:
+    if block:
+        rows = numbered(rows, F.date_trunc(block, "ts"), order=("ts", *COLUMNS[3:]), name="seq").withColumn("seq", F.col("seq").cast("long"))
+    elif not seq:
         rows = rows.withColumn("seq", F.row_number().over(Window.partitionBy("symbol").orderBy("ts", *COLUMNS[3:])).cast("long"))
     return rows.select(*COLUMNS)
 
@@ -97,6 +102,8 @@ PERIODS_SQL = f"""select symbol, cast(row_number() over (partition by symbol ord
  from ({HOURLY_SQL}) group by symbol, cast(ts as date)"""
 _DAY_SQL = """arg_min(o_totalprice, struct_pack(a := o_orderdate, b := o_orderkey)) as open, max(o_totalprice) as high, min(o_totalprice) as low,
  arg_max(o_totalprice, struct_pack(a := o_orderdate, b := o_orderkey)) as close, cast(count(*) as double) as volume from orders"""
+MARKET_SQL = f"""select 'all' as symbol, cast(row_number() over (order by o_orderdate) as bigint) as seq, cast(o_orderdate as timestamp) as ts,
+ {_DAY_SQL} group by o_orderdate"""
 PAIR_SQL = f"""select a.symbol, cast(row_number() over (partition by a.symbol order by a.ts) as bigint) as seq, cast(a.ts as timestamp) as ts,
  cast(a.open as double) as open, cast(a.high as double) as high, cast(a.low as double) as low, cast(a.close as double) as close, a.volume,
  cast(m.open as double) as market_open, cast(m.high as double) as market_high, cast(m.low as double) as market_low, cast(m.close as double) as market_close, m.volume as market_volume
