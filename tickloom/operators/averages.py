@@ -22,9 +22,11 @@ def SimpleMovingAverage(s, x, n=14):
 
 @average("Wma")
 def WeightedMovingAverage(s, x, n=14):
-    # weights n..1 through the row number: rows that do not exist weigh nothing, the divisor stays whole
+    # weights n..1 through the row number: rows that do not exist weigh nothing, the divisor stays whole; once there
+    # are n rows, from centred values, which keep their digits in a long series
     x = s.let(x)
-    return s.let((s.sum(s.let(x * s.rn), n) - (s.rn - n) * s.sum(x, n)) / (n * (n + 1) / 2))
+    first = (s.sum(s.let(x * s.rn), n) - (s.rn - n) * s.sum(x, n)) / (n * (n + 1) / 2)
+    return s.let(where(s.rn >= n, s.avg(x, n) + s.covar(x, s.rn, n) * (2 / (n + 1)), first))
 
 
 @average("Ema")

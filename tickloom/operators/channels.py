@@ -144,8 +144,8 @@ def HurstBands(s, n=10, inner=1.6, outer=2.6, extreme=4.2):
 def HirashimaSugitaRS(s, ma=WMA, n=1000):
     e = s.ema(s.x, n)
     w = s.ma(ma, abs_(s.x - e), n)
-    a = s.linreg(w, n)
-    b = s.linreg(a, n)
+    a = s.linreg(s.x - e, n)
+    b = s.linreg(s.x - e - a, n)
     m = s.let(e + a + b - s.lag(b, 1))
     return s.result({"UpperBand1": s.let(m + w), "UpperBand2": s.let(m + w * 2), "MiddleBand": m, "LowerBand1": s.let(m - w), "LowerBand2": s.let(m - w * 2)}, s.compare(s.x - m), None)
 
@@ -292,8 +292,7 @@ def PriceCurveChannel(s, ma=WILDER, n=100):
 @indicator("Volatility")
 def ProjectionBands(s, n=14):
     h, l = s.range_of(s.x)
-    b, a = s.slope(s.x, n)
-    c = s.slope(s.let(a + b * s.i), n)[0]  # the second regression reads what the first one left
+    b, c = s.slope(l, n)[0], s.slope(h, n)[0]
     u, d = h, l
     for j in range(1, n + 1):
         u, d = mx(u, s.lag(h, j - 1) + s.lag(c, j) * j), mn(d, s.lag(l, j - 1) + s.lag(b, j) * j)
@@ -520,6 +519,5 @@ def ExtendedRecursiveBands(s, n=100):
 @indicator("Trend")
 def EfficientTrendStepChannel(s, n=100, fast=50, slow=200):
     er = s.er(s.x, n)
-    f = s.sd(s.x * 2, fast)
-    d = s.let(er * f + (1 - er) * s.sd(f, slow))
+    d = s.let(er * s.sd(s.x * 2, fast) + (1 - er) * s.sd(s.x * 2, slow))
     return around(s, _hold(s, s.x, d), d)

@@ -96,9 +96,8 @@ def EhlersDecyclerOscillatorV2(s, ma=WMA, fast=10, slow=20):
 @indicator("Cycle")
 def EhlersDecyclerOscillatorV1(s, fast=100, slow=125, fast_mult=1.2, slow_mult=1.0):
     d = s.let(s.x - high_pass1(s, s.x, fast))
-    d = s.let(d - high_pass1(s, d, slow))  # each part reads what the part before it left
-    a = high_pass1(s, d, fast, 0.5)
-    b = high_pass1(s, a, slow, 0.5)
+    c = s.let(d - high_pass1(s, d, slow))  # the second decycler reads the first
+    a, b = high_pass1(s, d, fast, 0.5), high_pass1(s, c, slow, 0.5)
     a, b = s.let(pct(a * fast_mult, s.x)), s.let(pct(b * slow_mult, s.x))
     return s.result({"FastEdo": a, "SlowEdo": b}, s.compare(b - a), None)
 
@@ -177,7 +176,7 @@ def tap_corr(s, x, taps):
     sx, sxx = s.sum(x, n), s.sum(s.let(sq(x)), n)
     sxy = s.fir(x, taps, 1.0)
     vx, vy = s.let(sxx * n - sx * sx), n * syy - sy * sy
-    return s.let(where(vx > 1e-9, div(sxy * n - sx * sy, sqrt(vx * vy)), 0.0)) if vy > 0 else lit(0.0)
+    return s.let(where(vx > sxx * (n * 1e-13), div(sxy * n - sx * sy, sqrt(vx) * math.sqrt(vy)), 0.0)) if vy > 0 else lit(0.0)
 
 
 @indicator("Cycle")

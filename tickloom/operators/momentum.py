@@ -515,17 +515,14 @@ def PremierStochasticOscillator(s, ma=EMA, n=8, smooth=25):
 @indicator("Momentum")
 def TurboStochasticsFast(s, ma=SMA, n1=20, n2=10, turbo=2):
     k = s.stoch(s.x, n1)
-    # the regression of %K reads what the smoothing left, and that of %D reads the first one
-    a = s.linreg(s.ma(ma, k, n1), n2 + min(turbo, n2))
-    b = s.linreg(a, n2 + min(turbo, n2))
+    a, b = (s.linreg(x, n2 + min(turbo, n2)) for x in (k, s.ma(ma, k, n1)))
     return against(s, "Tsf", a, b, 70, 30)
 
 
 @indicator("Momentum")
 def TurboStochasticsSlow(s, ma=SMA, n1=20, n2=10, turbo=2):
     k = s.ma(ma, s.stoch(s.x, n1), n1)
-    a = s.linreg(s.ma(ma, k, n1), n2 + min(turbo, n2))
-    b = s.linreg(a, n2 + min(turbo, n2))
+    a, b = (s.linreg(x, n2 + min(turbo, n2)) for x in (k, s.ma(ma, k, n1)))
     return against(s, "Tsf", a, b, 70, 30)
 
 

@@ -6,8 +6,8 @@ import math
 
 from tickloom.functions.expr import abs_, clamp, div, exp, lit, log, mn, mx, rsi_of, sign, sin, sq, sqrt, where
 
-from .channels import extrapolated, so_far
-from .momentum import against, connors, lines, pct, place, turned
+from .channels import so_far
+from .momentum import against, connors, lines, pct, turned
 from .registry import EMA, SMA, WILDER, WMA, indicator, length
 from .trend import bollinger
 from .volatility import flow, mfi, own_slope, plain, signalled
@@ -294,9 +294,8 @@ def InverseFisherZScore(s, ma=SMA, n=100):
 @indicator("Momentum")
 def InverseFisherFastZScore(s, ma=SMA, n=50):
     k = length(math.ceil(n / 2))
-    d = s.sd(s.ma(ma, s.x, n), n, ma)
-    a = s.linreg(d, n)
-    b = s.linreg(a, k)
+    m = s.ma(ma, s.x, n)
+    a, b, d = s.linreg(m, n), s.linreg(m, k), s.sd(m, n, ma)
     e = s.let(exp(div(b - a, d) * 5))
     return own_slope(s, "Iffzs", div(e - 1, e + 1))
 
@@ -430,9 +429,9 @@ def RelativeVolatilityIndexV1(s, ma=WILDER, n=10, smooth=14):
 
 
 def relative_volatility2(s, ma, n, smooth):
-    # the second reading is one of the first, as each leaves its result for the next
-    a = relative_volatility(s, ma, n, smooth)
-    return s.let((a + relative_volatility(s, ma, n, smooth, a)) / 2)
+    """The mean of the index of the highs and of that of the lows."""
+    h, l = s.range_of(s.x)
+    return s.let((relative_volatility(s, ma, n, smooth, s.let(h)) + relative_volatility(s, ma, n, smooth, s.let(l))) / 2)
 
 
 @indicator("Volatility")
@@ -751,7 +750,7 @@ def FireflyOscillator(s, ma=ZLEMA, n=10, smooth=3):
     h, l = s.range_of(s.x)
     v = s.let((h + l + s.x * 2) / 4)
     m = s.ma(ma, v, n)
-    d = s.sd(m, n, ma)
+    d = s.sd(v, n, ma)
     z = where(d.eq(0), (v - m) * 100, pct(v - m, d))
     w = s.let((s.ma(ma, s.ma(ma, s.ma(ma, z, smooth), smooth), n) + 100) / 2 - 4)
     return s.result({"Fo": w, "Signal": s.max(w, smooth)}, s.crossing(w - s.lag(w, 1), w, 80, 20))
@@ -785,10 +784,8 @@ def FearAndGreedIndicator(s, ma=WMA, fast=10, slow=30, smooth=2):
 
 @indicator("Momentum")
 def FunctionToCandles(s, ma=WILDER, n=14):
-    r, x = [], s.x
-    for _ in range(4):  # each of the four is the RSI of the one before it
-        x = s.rsi(x, n, ma)
-        r.append(x)
+    h, l = s.range_of(s.x)
+    r = [s.rsi(x, n, ma) for x in (s.x, s.open, h, l)]
     t = s.let((r[0] + r[1] + r[2] + r[3]) / 4)
     return s.result({"Close": r[0], "Open": r[1], "High": r[2], "Low": r[3]}, s.compare(t - s.lag(t, 1)), None)
 
@@ -810,7 +807,7 @@ def kase_peak(s, n, smooth):
     d = div(h - s.lag(l, n), a) - div(s.lag(h, n) - l, a)
     p = s.wma(d * math.sqrt(n), smooth)
     m = s.sma(p, n)
-    return p, m, s.let(s.sd(m, n) * 1.33)
+    return p, m, s.let(s.sd(p, n) * 1.33)
 
 
 @indicator("Momentum")
@@ -925,7 +922,7 @@ def QuasiWhiteNoise(s, ma=WILDER, n=20, noise=500, divisor=40.0):
     c = connors(s, ma, noise, noise, n)[3]
     w = s.let((c - 50) / divisor)
     m = s.ma(ma, w, noise)
-    d = s.sd(m, noise, ma)
+    d = s.sd(w, noise, ma)
     return s.result({"WhiteNoise": w, "WhiteNoiseMa": m, "WhiteNoiseStdDev": d, "WhiteNoiseVariance": s.let(sq(d))}, s.crossing(c - s.lag(c, 1), c, 70, 30))
 
 
@@ -1091,7 +1088,8 @@ def SupportAndResistanceOscillator(s):
 
 @indicator("Momentum")
 def StationaryExtrapolatedLevelsOscillator(s, ma=SMA, n=200):
-    return turned(s, "Selo", place(s, extrapolated(s, ma, n)[1], n), 80, 20)
+    y = s.let(s.x - s.ma(ma, s.x, n))
+    return turned(s, "Selo", s.stoch(s.let((s.lag(y, n) * 2 - s.lag(y, n * 2)) / 2), n * 2), 80, 20)
 
 
 @indicator("Momentum")
@@ -1143,7 +1141,7 @@ def ReallySimpleIndicator(s, ma=EMA, n=21, smooth=10):
 
 @indicator("Momentum")
 def RelativeSpreadStrength(s, ma=EMA, fast=10, slow=40, n=14, smooth=5):
-    return turned(s, "Rss", s.ma(ma, s.rsi(s.ma(ma, s.x, fast) - s.ma(ma, s.x, slow), n, ma), smooth), 80, 20)
+    return turned(s, "Rss", s.ma(ma, s.rsi(s.ma(ma, s.x, fast) - s.ma(ma, s.x, slow), n), smooth), 80, 20)
 
 
 @indicator("Volatility")

@@ -25,6 +25,10 @@ def row(name: str, n: int) -> dict[str, float]:
     return {f"{name}{j}": 0.0 for j in range(n)}
 
 
+#: A variance below this share of the mean square is what rounding leaves of equal values in a difference of sums.
+SMALL = 1e-13
+
+
 def push(old, new, name: str, n: int, value: E) -> list[E]:
     """Puts a value in front of the last ones; gives all n, missing ones as 0."""
     new[f"{name}0"] = value
@@ -37,10 +41,10 @@ def likeness(new, name: str, rows: E, xs: list[E], sums: tuple[E, E], ys: list[E
     """|correlation| of a window of values with a scan's own last ones; 0 where it is not defined."""
     sx, sxx = sums
     new[f"{name}_s"] = total(ys) / rows
-    new[f"{name}_v"] = total([sq(y) for y in ys]) / rows - sq(new[f"{name}_s"])
+    new[f"{name}_v"] = total([sq(y - new[f"{name}_s"]) for y in ys]) / rows - (len(ys) / rows - 1) * sq(new[f"{name}_s"])
     new[f"{name}_c"] = total([x * y for x, y in zip(xs, ys, strict=True)]) / rows - sx / rows * new[f"{name}_s"]
     v = sxx / rows - sq(sx / rows)
-    ok = (v > 1e-9) & (new[f"{name}_v"] > 1e-9)
+    ok = (v > sxx / rows * SMALL) & (new[f"{name}_v"] > sq(new[f"{name}_s"]) * SMALL)
     new[name] = where(ok, mn(abs_(div(new[f"{name}_c"], sqrt(v * new[f"{name}_v"]))), 1), 0.0)
     return new[name]
 
@@ -85,7 +89,7 @@ def FisherLeastSquaresMovingAverage(s, x, n=100, ma=SMA):
 def CorrectedMovingAverage(s, x, n=35, ma=SMA):
     """Steps towards the average by a gain that is itself the limit of an iteration."""
     m = s.ma(ma, x, n)
-    v = s.let(sq(s.sd(x, n, ma)))
+    v = s.let(sq(s.sd(m, n, ma)))  # of the average
 
     def step(o, new):
         new["d"] = m - s.first(m, o["y"])
@@ -101,7 +105,7 @@ def R2AdaptiveRegression(s, x, n=100, ma=SMA):
     x = s.let(x)
     line = s.linreg(x, n)
     fit = s.let(sq(s.corr(line, x, n)))
-    dev, m = s.sd(x, n, ma), s.ma(ma, x, n)
+    dev, m = s.sd(line, n, ma), s.ma(ma, x, n)
     xs, sums, rows = _window(s, x, n)
 
     def step(o, new):

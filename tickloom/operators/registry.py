@@ -43,6 +43,8 @@ REGISTRY: dict[str, Spec] = {}
 AVERAGES: dict[str, Callable[..., E]] = {}
 
 SMA, EMA, WMA, WILDER = "SimpleMovingAverage", "ExponentialMovingAverage", "WeightedMovingAverage", "WellesWilderMovingAverage"
+#: A variance below this share of the squared mean is what rounding leaves of equal values.
+TINY = 1e-20
 #: Other names of averages.
 ALIASES = {"WildersSmoothingMethod": WILDER, "WildersSummationMethod": "WellesWilderSummation"}
 
@@ -155,23 +157,27 @@ class Context(Series):
         return self.let(sqrt(self.avg(self.let(sq(self.let(x))), n)))
 
     def corr(self, x: E, y: E, n: int) -> E:
-        """Pearson correlation of the last n rows; 0 where it is not defined."""
+        """Pearson correlation of the last n rows, whatever their scale; 0 where one of them does not vary."""
         x, y = self.let(x), self.let(y)
-        mx_, my, mxy, mxx, myy = (self.avg(self.let(e), n) for e in (x, y, x * y, x * x, y * y))
-        vx, vy = mxx - mx_ * mx_, myy - my * my
-        tiny = 1e-9
-        return self.let(where((vx > tiny) & (vy > tiny), clamp(div(mxy - mx_ * my, sqrt(vx * vy)), 1, -1), 0.0))
+        vx, vy, c = self.covar(x, x, n), self.covar(y, y, n), self.covar(x, y, n)
+        ok = (vx > sq(self.avg(x, n)) * TINY) & (vy > sq(self.avg(y, n)) * TINY)
+        return self.let(where(ok, clamp(div(c, sqrt(vx) * sqrt(vy)), 1, -1), 0.0))
 
     def slope(self, x: E, n: int) -> tuple[E, E]:
-        """(slope, intercept) of the regression of the last n rows on their number; both divide by n."""
+        """(slope, intercept) of the regression of the last n rows on their number; both divide by n.
+
+        Once there are n rows the slope is taken from centred values, so that it keeps its digits in a long series.
+        """
         x, i = self.let(x), self.let(self.i)
         sx, sy, sxy, sxx = self.sum(i, n), self.sum(x, n), self.sum(self.let(x * i), n), self.sum(self.let(i * i), n)
-        b = self.let(div(sxy * n - sx * sy, sxx * n - sx * sx))
+        first = div(sxy * n - sx * sy, sxx * n - sx * sx)
+        b = self.let(where(self.rn >= n, self.covar(x, i, n) * (12 / (n * n - 1)), first) if n > 1 else lit(0.0))
         return b, self.let((sy - b * sx) / n)
 
     def linreg(self, x: E, n: int) -> E:
+        """The end of the regression line."""
         b, a = self.slope(x, n)
-        return self.let(a + b * self.i)
+        return self.let(where(self.rn >= n, self.avg(self.let(x), n) + b * ((n - 1) / 2), a + b * self.i))
 
     # ---- recursions ----------------------------------------------------------------------------
 

@@ -229,7 +229,8 @@ def _reverse_macd(s, x, fast, slow, ma):
 
 def _linear_lines(s, x, n):
     b, a = s.slope(x, n)
-    return s.let(a + b * s.i), s.let(a + b * s.rn), b, a
+    today = s.linreg(x, n)
+    return today, s.let(today + b), b, a
 
 
 @average("LinearRegression")

@@ -222,7 +222,7 @@ def TrendAnalysisIndex(s, ma=SMA, n1=28, n2=5):
 @indicator("Trend")
 def TrendAnalysisIndicator(s, ma=SMA, n1=21, n2=4):
     slow, fast = s.ma(ma, s.x, n1), s.ma(ma, s.x, n2)
-    y = s.sd(fast, n2, ma)
+    y = s.sd(slow, n2, ma)
     sig = s.ma(ma, y, n1)
     return s.result({"Tai": y, "Signal": sig}, s.volatile(fast - slow, y, sig))
 
@@ -417,8 +417,8 @@ def InformationRatio(s, ma=SMA, n=30, bmk=0.05):
 @indicator("Momentum")
 def SharpeRatio(s, ma=SMA, n=30, bmk=0.02):
     r, b = _returns(s, n, bmk)
-    m = s.ma(ma, r - b, n)
-    y = s.let(div(m, s.sd(m, n, ma)))
+    r = s.let(where(s.lag(s.x, n).ne(0), r - b, 0.0))
+    y = s.let(div(s.ma(ma, r, n), s.sd(r, n, ma)))
     return s.result({"Sr": y}, s.compare(y - 2))
 
 
@@ -446,7 +446,7 @@ def MartinRatio(s, ma=SMA, n=30, bmk=0.02):
     last = s.lag(s.x, n)
     r = s.let(where(last.ne(0), div(s.x * 100, last) - 1 - b * 100, 0.0))
     m = s.ma(ma, r, n)
-    y = s.let(div(m, s.of("UlcerIndex", m, n=n).value))
+    y = s.let(div(m, s.of("UlcerIndex", r, n=n).value))
     return s.result({"Mr": y}, s.compare(y - 2))
 
 

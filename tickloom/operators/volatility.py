@@ -113,9 +113,8 @@ def GopalakrishnanRangeIndex(s, ma=WMA, n=5):
 def FastZScore(s, ma=SMA, n=200):
     k = length(math.ceil(n / 2))
     m = s.ma(ma, s.x, n)
-    a = s.linreg(m, n)  # the second regression and the deviation read what the step before left
-    b = s.linreg(a, k)
-    return vol(s, "Fzs", div(b - a, s.sd(b, n, ma)) / 2, 0, m)
+    a, b = s.linreg(m, n), s.linreg(m, k)  # of the average, as the deviation is
+    return vol(s, "Fzs", div(b - a, s.sd(m, n, ma)) / 2, 0, m)
 
 
 @indicator("Volatility")
@@ -317,7 +316,7 @@ def KaseDevStopV1(s, ma=SMA, fast=5, slow=21, n=20, devs=(0.0, 1.0, 2.2, 3.6)):
     c, l = s.lag(s.close, 2), s.lag(s.low, 2)
     r = s.let(mx(s.high - l, abs_(s.high - c), abs_(s.low - c)))
     a, f, g = s.ma(ma, r, n), s.ma(ma, p, fast), s.ma(ma, p, slow)
-    d = s.sd(f, n, ma)
+    d = s.sd(r, n, ma)
     y = [s.let(where(f < g, p + a + d * k, p - a - d * k)) for k in devs]
     return s.result({"Dev1": y[1], "Dev2": y[2], "Dev3": y[3], "WarningLine": y[0]}, s.compare(f - g), None)
 
@@ -329,7 +328,7 @@ def KaseDevStopV2(s, ma=SMA, fast=10, slow=21, n=20, devs=(0.0, 1.0, 2.2, 3.6)):
     c = s.lag(s.x, 2)
     r = s.let(mx(h, s.lag(h, 1), c) - mn(l, s.lag(l, 1), c))
     a = s.ma(ma, r, n)
-    d = s.sd(a, n, ma)
+    d = s.sd(r, n, ma)
     p = s.let(where(up, h, l))
     y = [s.let((p - where(up, 1.0, -1.0)) * (a + d * k)) for k in devs]
     return s.result({f"Dev{k + 1}": v for k, v in enumerate(y)}, s.compare(p - y[3]), None)
@@ -526,8 +525,8 @@ def OnBalanceVolumeReflex(s, ma=SMA, n=4, signal=14):
 def _disparity(s, key, o, ma, n, signal, top, bottom):
     om = s.ma(ma, o, n)
     m = s.ma(ma, s.x, n)
-    d = s.sd(m, n, ma)  # of the average, and the second one of this deviation
-    od = s.sd(d, n, ma)
+    d = s.sd(m, n, ma)  # of the average; the second one of the volume's line
+    od = s.sd(o, n, ma)
     a = div(s.x - (m - d * 2), s.x + d * 2 - (m - d * 2))
     b = s.let(div(o - (om - od * 2), od * 4))
     y = s.let(div(a + 1, b + 1))
@@ -569,7 +568,7 @@ def HerrickPayoffIndex(s, point=100.0):
 
 @indicator("Volume")
 def FiniteVolumeElements(s, ma=SMA, n=22, factor=0.3):
-    p = s.let(s.typical)
+    p = s.let((s.high + s.low + s.mid) / 3)  # a typical price with the median price as its close
     m = s.let(s.x - s.mid + p - s.lag(p, 1))
     v = where(m > s.x * (factor / 100), s.volume, where(m < s.x * (-factor / 100), -s.volume, 0.0))
     y = s.sum(s.let(div(v, s.ma(ma, s.volume, n)) * (100 / n)))
@@ -579,7 +578,7 @@ def FiniteVolumeElements(s, ma=SMA, n=22, factor=0.3):
 
 def _relative_volume(s, ma, n):
     m = s.ma(ma, s.volume, n)
-    return s.let(div(s.volume - m, s.sd(m, n, ma)))
+    return s.let(div(s.volume - m, s.sd(s.volume, n, ma)))
 
 
 def _sticky(s, key, y):

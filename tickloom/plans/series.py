@@ -96,6 +96,11 @@ class Series:
         """Mean of the rows there are, n at most."""
         return self.over("avg({})", lit(e), n)
 
+    def covar(self, a: E, b: E, n: int) -> E:
+        """Covariance of the last n rows, from centred values: no digits go where the values are large."""
+        a, b = lit(a), lit(b)
+        return self._name("w", E(f"covar_pop({a.sql}, {b.sql}) over ({BY} rows between {int(n) - 1} preceding and current row)", "", a.names | b.names), reach=int(n) - 1)
+
     def max(self, e: E, n: int | None = None) -> E:
         return self.over("max({})", lit(e), n)
 
