@@ -41,7 +41,8 @@ def check(spark, name, x, want, key, **params):
 
 def test_corrected_moving_average(spark):
     x, n, out = walk(60), 5, []
-    m, dev = sma(x, n), spread(x, n)
+    m = sma(x, n)
+    dev = spread(m, n)  # of the average
     for i in range(60):
         before = out[-1] if out else m[i]
         a, b = dev[i] ** 2, (before - m[i]) ** 2

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+from . import kernels
+
 
 class E:
     """An expression; `names` are the columns it reads."""
@@ -192,5 +194,8 @@ PYTHON = {
     "_sign": lambda x: 1.0 if x > 0 else -1.0 if x < 0 else 0.0,
     "_gain": _gain,
     "_undivided": _undivided,
+    "_filter_bank": kernels.filter_bank,
+    "_burg_ahead": kernels.burg_ahead,
+    "_count_back": kernels.count_back,
     "math": math,
 }

@@ -6,7 +6,7 @@ import math
 
 from tickloom.functions.expr import abs_, atan, clamp, cos, div, exp, floor, lit, log, mn, mx, power, rsi_of, sign, sq, sqrt, where
 
-from .registry import EMA, SMA, WMA, average, half_even, indicator, length
+from .registry import AVERAGES, EMA, SMA, WMA, average, half_even, indicator, length, parts
 
 PI, ROOT2 = math.pi, math.sqrt(2)
 
@@ -61,6 +61,11 @@ def KaufmanAdaptiveMovingAverage(s, x, n=10, fast=2, slow=30):
     return s.smooth(x, s.let(sq(s.er(x, n) * (f - g) + g)))
 
 
+@parts("KaufmanAdaptiveMovingAverage", "Kama")
+def _kama_parts(s, x, n, fast, slow):
+    return {"Er": s.er(x, n), "Kama": KaufmanAdaptiveMovingAverage(s, x, n, fast, slow)}
+
+
 @average("Alma")
 def ArnaudLegouxMovingAverage(s, x, n=9, offset=0.85, sigma=6):
     m, w = offset * (n - 1), n / sigma
@@ -189,6 +194,12 @@ def AdaptiveAutonomousRecursiveMovingAverage(s, x, n=14, gamma=3.0):
     return _aarma(s, x, n, gamma)[0]
 
 
+@parts("AdaptiveAutonomousRecursiveMovingAverage", "Aarma")
+def _aarma_parts(s, x, n, gamma):
+    y, d = _aarma(s, x, n, gamma)
+    return {"D": d, "Aarma": y}
+
+
 def _aarma(s, x, n, gamma):
     er = s.er(x, n)
 
@@ -214,6 +225,11 @@ def PoweredKaufmanAdaptiveMovingAverage(s, x, n=100, factor=3.0):
     return s.smooth(x, s.let(power(s.er(x, n), factor)), seed=x)
 
 
+@parts("PoweredKaufmanAdaptiveMovingAverage", "Pkama")
+def _pkama_parts(s, x, n, factor):
+    return {"Per": power(s.er(x, n), factor), "Pkama": PoweredKaufmanAdaptiveMovingAverage(s, x, n, factor)}
+
+
 def _hold(s, x, dev):
     """The last value until x leaves it by more than dev."""
     return s.rec(lambda y: where(x > s.first(x, y) + dev, x, where(x < s.first(x, y) - dev, x, s.first(x, y))))
@@ -846,6 +862,11 @@ def EhlersGaussianFilter(s, x, n=14):
     return _gauss(s, x, n, 4)
 
 
+@parts("EhlersGaussianFilter", "Egf4")
+def _gauss_parts(s, x, n):
+    return {f"Egf{k}": _gauss(s, x, n, k) for k in (1, 2, 3, 4)}
+
+
 @average("Eaef")
 def EhlersAverageErrorFilter(s, x, n=27):
     b, c = _two_pole(n)
@@ -973,17 +994,24 @@ CHEBYSHEV = {
 }
 
 
+def _chebyshev(s, x, key):
+    g, t, p, q, t2, p2, q2 = CHEBYSHEV[key]
+    u = s.let((x + s.ago(x, 1) * t + s.ago(x, 2)) * g)
+    v = s.rec2(lambda y, z: u + y * p - z * q)
+    w = s.let(v + s.lag(v, 1) * t2 + s.lag(v, 2))
+    return s.rec2(lambda y, z: w + y * p2 - z * q2)
+
+
 @indicator()
 def EhlersChebyshevLowPassFilter(s):
-    out = {}
-    for key, (g, t, p, q, t2, p2, q2) in CHEBYSHEV.items():
-        u = s.let((s.x + s.lag(s.x, 1) * t + s.lag(s.x, 2)) * g)
-        v = s.rec2(lambda y, z, u=u, p=p, q=q: u + y * p - z * q)
-        w = s.let(v + s.lag(v, 1) * t2 + s.lag(v, 2))
-        out[key.replace("-", "Minus")] = s.rec2(lambda y, z, w=w, p2=p2, q2=q2: w + y * p2 - z * q2)
+    out = {key.replace("-", "Minus"): _chebyshev(s, s.x, key) for key in CHEBYSHEV}
     return s.result(out, s.compare(s.x - out["EclpfMinus2"]))
 
 
+#: As an average it is the line at the lowest setting, whatever the length.
+AVERAGES["EhlersChebyshevLowPassFilter"] = lambda s, x, n=0: _chebyshev(s, x, "Eclpf-2")
+
+
 @average("Ebema")
 def EhlersBetterExponentialMovingAverage(s, x, n=20):
     v = math.cos(2 * PI / n) + math.sin(2 * PI / n)
@@ -1122,6 +1150,12 @@ def VariableLengthMovingAverage(s, x, n=50, short=5, ma=SMA):
     return _variable_length(s, x, n, short, ma)[0]
 
 
+@parts("VariableLengthMovingAverage", "Vlma")
+def _vlma_parts(s, x, n, short, ma):
+    y, size = _variable_length(s, x, n, short, ma)
+    return {"Length": size, "Vlma": y}
+
+
 @average("Uma")
 def UltimateMovingAverage(s, x, most=50, least=5, acc=1.0, ma=SMA):
     """Weights fall from the newest row on by a power that money flow sets, over a variable length."""
@@ -1189,3 +1223,13 @@ def mama(s, x, fast=0.5, slow=0.05):
 @average("Mama")
 def EhlersMotherOfAdaptiveMovingAverages(s, x, n=0, fast=0.5, slow=0.05):
     return mama(s, x, fast, slow)["Mama"]
+
+
+@parts("EhlersMotherOfAdaptiveMovingAverages", "Mama")
+def _mama_parts(s, x, n, fast, slow):
+    out = mama(s, x, fast, slow)
+    return {k: out[k] for k in ("Fama", "Mama", "I1", "Q1", "SmoothPeriod", "Smooth", "Real", "Imag")}
+
+
+#: An average without an indicator of its own: the slower line of the pair.
+AVERAGES["FollowingAdaptiveMovingAverage"] = lambda s, x, n=0: mama(s, x, 0.5, 0.05)["Fama"]

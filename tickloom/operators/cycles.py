@@ -708,6 +708,12 @@ def EhlersNoiseEliminationTechnology(s, n=14):
 
 
 def _net(s, x, n):
+    """Pairs of the last n rows that rise less those that fall, over all pairs; missing rows count as 0."""
+    if n > 20:  # what comes with the newest row less what goes with the oldest, summed up: whole numbers, so exact
+        v, comes, goes = [s.lag(x, j) for j in range(n)], lit(0.0), lit(0.0)
+        for k in range(1, n):
+            comes, goes = comes - sign(v[k] - v[0]), goes - sign(v[n - 1] - v[n - 1 - k])
+        return s.sum(s.let(comes - s.lag(s.let(goes), 1))) / (0.5 * n * (n - 1))
     v, out = [s.lag(x, j) for j in range(n)], lit(0.0)
     for j in range(1, n):
         part = lit(0.0)

@@ -11,7 +11,7 @@ from tickloom.plans.segments import in_segments, segmented
 from tickloom.plans.series import rounded
 from tickloom.sources.bars import HOURLY_SQL, MARKET, MARKET_SQL, PAIR_SQL, PERIODS_SQL, daily, daily_market, hourly, regroup, with_market
 
-from . import averages, channels, composites, cycles, market, momentum, oscillators, pivots, recursions, regressions, spectral, trend, volatility  # noqa: F401
+from . import averages, channels, composites, cycles, market, momentum, searches, oscillators, pivots, recursions, regressions, spectral, trend, volatility  # noqa: F401
 from .registry import AVERAGES, REGISTRY, ChainError, Context, Result
 
 
@@ -122,6 +122,7 @@ def query(name: str):
 def oracle(name: str) -> str:
     kind = REGISTRY[name].input
     s = Context(MARKET if kind == "pair" else ())
+    s.written_out = True
     return s.sql({"bars": HOURLY_SQL, "periods": PERIODS_SQL, "pair": PAIR_SQL}[kind], columns(REGISTRY[name].run(s)), DIGITS)
 
 

@@ -231,8 +231,10 @@ def _damping(angle: E) -> E:
 
 def _bank(s: Context, low: int, high: int, n1: int, n2: int) -> tuple[E, E]:
     """(dominant cycle, smoothed high-pass): powers of filters of all periods, which share the memory of the longest."""
-    delta = _delta(s)
     _, y = _cleaned(s, n1, 7, s.x - s.lag(s.x, 1))
+    if not s.written_out:  # one column that keeps the filters' memory as arrays, for the 780 of the SQL form
+        return median(s, s.kept("_filter_bank", y, s.i, lit(low), lit(high), lit(n2)), n2), y
+    delta = _delta(s)
     move = s.let((y - s.lag(y, 1)) * (2 / PI))
     damp = {j: s.let(_damping(clamp(delta * (4 * PI / j), 0.99, 0.01))) for j in range(low, high + 1)}
 

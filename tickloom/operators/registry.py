@@ -46,7 +46,10 @@ SMA, EMA, WMA, WILDER = "SimpleMovingAverage", "ExponentialMovingAverage", "Weig
 #: A variance below this share of the squared mean is what rounding leaves of equal values.
 TINY = 1e-20
 #: Other names of averages.
-ALIASES = {"WildersSmoothingMethod": WILDER, "WildersSummationMethod": "WellesWilderSummation"}
+ALIASES = {
+    "WildersSmoothingMethod": WILDER, "WildersSummationMethod": "WellesWilderSummation", "_1LCLeastSquaresMovingAverage": "1LCLeastSquaresMovingAverage",
+    "_3HMA": "3HMA", "EhlersMesaAdaptiveMovingAverage": "EhlersMotherOfAdaptiveMovingAverages", "EndPointWeightedMovingAverage": "EndPointMovingAverage",
+}
 
 
 def indicator(category: str = "Trend", name: str | None = None, input: str = "bars"):
@@ -79,6 +82,22 @@ def average(key: str, name: str | None = None, **defaults):
     return add
 
 
+def parts(name: str, main: str):
+    """Gives the indicator of an average its other outputs too: f(s, x, **params) -> columns by key, `main` among them."""
+
+    def add(f):
+        spec = REGISTRY[name]
+
+        def run(s, **given):
+            out = {k: s.let(e) for k, e in f(s, s.x, **(spec.params | given)).items()}
+            return s.result(out, s.compare(s.x - out[main]), main)
+
+        REGISTRY[name] = Spec(name, run, spec.category, spec.params, True)
+        return f
+
+    return add
+
+
 class Context(Series):
     """A plan under construction: prices, the input `x`, and the building blocks of indicators."""
 
@@ -309,4 +328,4 @@ def length(x: float) -> int:
     return int(min(max(int(x), 2), 530))
 
 
-__all__ = ["ALIASES", "AVERAGES", "EMA", "REGISTRY", "SMA", "WILDER", "WMA", "ChainError", "Context", "Result", "Spec", "average", "half_even", "indicator", "length", "math", "mn"]
+__all__ = ["ALIASES", "AVERAGES", "EMA", "REGISTRY", "SMA", "WILDER", "WMA", "ChainError", "Context", "Result", "Spec", "average", "half_even", "indicator", "length", "math", "mn", "parts"]

@@ -11,7 +11,7 @@ from .channels import so_far
 from .composites import nearest
 from .cycles import _median
 from .momentum import turned
-from .registry import EMA, SMA, average, indicator
+from .registry import AVERAGES, EMA, SMA, average, indicator
 from .volatility import vol
 
 KAMA = "KaufmanAdaptiveMovingAverage"
@@ -227,6 +227,10 @@ def _reverse_macd(s, x, fast, slow, ma):
     return s.let((s.lag(s.ma(ma, x, fast), 1) * a - s.lag(s.ma(ma, x, slow), 1) * b) / (a - b))
 
 
+#: As an average it is called without a fast length, which counts as 0.
+AVERAGES["ReverseMovingAverageConvergenceDivergence"] = lambda s, x, n: _reverse_macd(s, x, 0, n, EMA)
+
+
 def _linear_lines(s, x, n):
     b, a = s.slope(x, n)
     today = s.linreg(x, n)

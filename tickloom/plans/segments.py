@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.expr import PYTHON, E, lit
 
-from .series import BY, RAW, Node, Series, _in_spark, _source, scan_frame
+from .series import BY, RAW, Node, Series, _in_spark, _source, rows_joined, scan_frame
 
 #: States of a recursion that are summarised; its summary has the square of them.
 MOST_STATES = 16
@@ -111,6 +111,8 @@ def _degrees(nodes: Sequence[Node], known: dict[str, int]) -> dict[str, int]:
     """Degrees of the columns of a plain node or of one scan, beside those that are known; raises _NotAffine."""
     degrees = known | ({k: 1 for n in nodes for k in (n.name, f"z{n.name}")} if nodes[0].kind == "s" else {})
     for n in nodes:  # a column that later expressions read by name has the degree of its expression
+        if n.expr.py.startswith("_keep("):
+            raise _NotAffine
         e, old = _parsed(n)
         d = _Linear(degrees).degree(e)
         degrees[n.name] = 1 if old else d
@@ -126,7 +128,7 @@ def _affine(left: Sequence[Node], done: set[str]) -> list[Node]:
         groups.setdefault(n.group or (n.name,), []).append(n)
     for nodes in groups.values():
         more = len(nodes) if nodes[0].kind == "s" else 0
-        if nodes[0].kind == "w" or states + more > MOST_STATES or not all(n.names <= have for n in nodes):
+        if nodes[0].kind in "wj" or states + more > MOST_STATES or not all(n.names <= have for n in nodes):
             continue
         try:
             degrees = _degrees(nodes, degrees)
@@ -309,8 +311,8 @@ def _before(n: Node) -> Node:
 
 
 def _plan(series: Series, outputs: dict[str, E]) -> list[tuple[str, list]]:
-    """Steps in order: ("windows", stages of nodes), ("totals", nodes), ("scan", nodes) and, for what can't be split,
-    ("whole", nodes)."""
+    """Steps in order: ("windows", stages of nodes), ("totals", nodes), ("rows", nodes of other rows), ("scan", nodes) and,
+    for what can't be split, ("whole", nodes)."""
     need = {n.name for _, nodes in series.stages(list(outputs.values())) for n in nodes} - {"rn"}
     left = [n for n in series.nodes.values() if n.name in need]
     done = {*RAW, *series.extra, "rn"}
@@ -329,12 +331,14 @@ def _plan(series: Series, outputs: dict[str, E]) -> list[tuple[str, list]]:
             ready = [_before(n) if n.kind == "s" else n for n in ready]
             add("windows", [n for n in ready if n.reach is not None])
             add("totals", [n for n in ready if n.reach is None])
+        elif far := [n for n in left if n.kind == "j" and n.names <= done]:
+            add("rows", far)
         elif core := _affine(left, done):
             add("scan", core)
         else:
             have, nodes = set(done), []
             for n in left:
-                if n.kind != "w" and n.names <= have:
+                if n.kind in "ps" and n.names <= have:
                     nodes.append(n)
                     have.add(n.name)
             add("whole", nodes)
@@ -414,6 +418,8 @@ def segmented(series: Series, bars: DataFrame, outputs: dict[str, E], size: int
             df = _windows(df, some, size)
         elif kind == "totals":
             df = _totals(df, some)
+        elif kind == "rows":
+            df = rows_joined(df, some)
         elif kind == "scan":
             df = _scan(df, some)
         else:

@@ -13,6 +13,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions.expr import PYTHON, E, col, div, lit, where
@@ -24,7 +25,7 @@ RAW = ("open", "high", "low", "close", "volume")
 @dataclass
 class Node:
     name: str
-    kind: str  # w: SQL with a window; p: plain; s: scan
+    kind: str  # w: SQL with a window; p: plain; s: scan; j: a value of another row, by its number
     expr: E
     init: float = 0.0
     names: frozenset[str] = field(default_factory=frozenset)
@@ -50,6 +51,8 @@ class Series:
         self.open, self.high, self.low, self.close, self.volume = map(col, RAW)
         self.x = self.close
         self.extra = tuple(inputs)
+        #: Whether the plan is for SQL alone, where what scans call has to be written out.
+        self.written_out = False
         self.rn = self._name("w", E(f"cast(row_number() over ({BY}) as double)"), fixed="rn")
         #: Rows before this one.
         self.i = self.rn - 1
@@ -112,6 +115,25 @@ class Series:
         held = self._name("w", E(f"last_value(case when {test.sql} then {e.sql} end ignore nulls) over ({BY} rows between unbounded preceding and current row)", "", e.names | test.names), reach=None, call="last", arg=E(f"case when {test.sql} then {e.sql} end"))
         return E(f"coalesce({held.sql}, 0e0)", f"({held.py} or 0.0)", held.names)
 
+    def array(self, e: E, n: int) -> E:
+        """The last n values, the newest last, as an array; fewer where there are fewer rows. Scans read it as a list."""
+        e = lit(e)
+        return self._name("w", E(f"list({e.sql}) over ({BY} rows between {int(n) - 1} preceding and current row)", "", e.names), reach=int(n) - 1)
+
+    def kept(self, call: str, *args: E) -> E:
+        """A column of a scan whose state is an object of its own: call(state, *args) of the scan's functions gives the
+        value and the next state; the first state is None. It has no SQL form."""
+        args = [self.let(lit(a)) for a in args]
+        names = frozenset().union(*(a.names for a in args))
+        text = f"_keep({call}, {', '.join(a.py for a in args)})"
+        return self._name("s", E(text, text, names), None)
+
+    def at_row(self, e: E, row: E) -> E:
+        """The value of e at the row of that number; 0 where there is none. Joined by row number, as it may lie far back."""
+        e, row = self.let(lit(e)), self.let(lit(row))
+        out = self._name("j", E(f"{e.sql}|{row.sql}", "", e.names | row.names), reach=None, call="row")
+        return E(f"coalesce({out.sql}, 0e0)", f"({out.py} or 0.0)", out.names)
+
     def whole(self, call: str, e: E) -> E:
         """An aggregate over all rows of the symbol, later ones too."""
         return self._name("w", E(f"{call.format(e.sql)} over (partition by symbol)", "", e.names), reach=None, call="whole " + call, arg=e)
@@ -182,10 +204,12 @@ class Series:
         while left:
             ready = [n for n in left if n.kind in "wp" and n.names <= done]
             kind = "w"
+            if not ready and (ready := [n for n in left if n.kind == "j" and n.names <= done]):
+                kind = "j"
             if not ready:
                 kind, ready, have = "s", [], set(done)
                 for n in left:  # in order of definition, so each finds what it builds on
-                    if n.kind != "w" and n.names <= have:
+                    if n.kind in "ps" and n.names <= have:
                         ready.append(n)
                         have.add(n.name)
                 if not ready:
@@ -201,6 +225,8 @@ class Series:
         for kind, nodes in self.stages(list(outputs.values())):
             if kind == "w":
                 df = df.selectExpr("*", *(f"{_in_spark(n.expr.sql)} as {n.name}" for n in nodes))
+            elif kind == "j":
+                df = rows_joined(df, nodes)
             else:
                 df = scan_frame(df, nodes)
         return df.selectExpr("symbol", "seq", *(f"{e.sql} as `{k}`" for k, e in outputs.items()))
@@ -208,9 +234,13 @@ class Series:
     def sql(self, bars: str, outputs: dict[str, E], digits: int = 4) -> str:
         """The same rows as DuckDB SQL over a query that gives bars; scans become recursive queries."""
         parts, at = [f"b0 as materialized ({bars})"], "b0"
-        staged = [(kind, some) for kind, nodes in self.stages(list(outputs.values())) for some in ([nodes] if kind == "w" else _portions(nodes))]
+        staged = [(kind, some) for kind, nodes in self.stages(list(outputs.values())) for some in (_portions(nodes) if kind == "s" else [nodes])]
         for k, (kind, nodes) in enumerate(staged, 1):
-            if kind == "w":
+            if kind == "j":
+                cols = ", ".join(f"j{n.name}.{n.expr.sql.split('|')[0]} as {n.name}" for n in nodes)
+                joins = " ".join(f"left join {at} j{n.name} on j{n.name}.symbol is not distinct from {at}.symbol and j{n.name}.rn = {at}.{n.expr.sql.split('|')[1]}" for n in nodes)
+                parts.append(f"b{k} as materialized (select {at}.*, {cols} from {at} {joins})")
+            elif kind == "w":
                 parts.append(f"b{k} as materialized (select *, {', '.join(f'{n.expr.sql} as {n.name}' for n in nodes)} from {at})")
             else:
                 names = [n.name for n in nodes]
@@ -236,6 +266,7 @@ class Series:
 
 def _in_spark(sql: str) -> str:
     """The spellings of window calls that differ between Spark and the SQL of the oracle."""
+    sql = re.sub(r"\blist\((\w+)\) over", r"collect_list(\1) over", sql)
     return re.sub(r"\bmedian\((\w+)\) over", r"percentile(\1, 0.5) over", sql.replace(" ignore nulls) over", ") ignore nulls over"))
 
 
@@ -244,6 +275,15 @@ def rounded(sql: str, digits: int) -> str:
     return f"round({sql} + 1.2345678e-{digits + 2}, {digits}) + 0e0"
 
 
+def rows_joined(df: DataFrame, nodes: list[Node]) -> DataFrame:
+    """df with values of other rows of the symbol: a join by row number, dealt by symbol and number."""
+    for n in nodes:
+        value, row = n.expr.sql.split("|")
+        other = df.selectExpr("symbol as _s", "rn as _r", f"{value} as {n.name}").hint("merge")
+        df = df.join(other, F.col("symbol").eqNullSafe(F.col("_s")) & (F.col(row) == F.col("_r")), "left").drop("_s", "_r")
+    return df
+
+
 def _portions(nodes: list[Node], most: int = 1500) -> list[list[Node]]:
     """The columns of a scan stage, cut where names that stand for expressions would make too long a text of them.
 
@@ -277,6 +317,9 @@ def _source(nodes: list[Node], reads: list[str]) -> str:
     for n in nodes:
         if n.expr.py.startswith("_old("):
             lines.append(f"        {n.name} = z{n.name}; y{n.name} = {n.expr.py[5:-1]}")
+        elif n.expr.py.startswith("_keep("):
+            call, args = n.expr.py[6:].split(", ", 1)
+            lines.append(f"        {n.name}, y{n.name} = {call}(z{n.name}, {args}")
         else:
             lines.append(f"        {n.name} = y{n.name} = {n.expr.py}")
     lines += [f"        z{n.name} = y{n.name}" for n in nodes]
