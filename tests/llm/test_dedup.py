@@ -164,3 +164,39 @@ def test_null_and_repeated_ids(spark, op):
     data = [(i, t, *[None] * 6) for i, t in ((None, text), (None, text), (4, text), (4, text), (4, "other words"), (None, None))]
     got = op(frame(spark, data)).collect()
     assert len(got) == len(data) and sorted(str(r.doc_id) for r in got) == sorted(str(d[0]) for d in data)
+
+
+MADE = [("bhegifrxeaquvkiqphfwhulqzmydbwyt", "taqhhtpojtavkhqpvcipmvripzmpdvqv"), ("vehkztpjpscgsdoznvwfefbkverkwinw", "mbjnwoezzymkvaclfbggmmnapxorgwhj")]
+
+
+@pytest.mark.parametrize(("one", "other"), MADE)
+def test_words_made_to_collide_in_a_sum_of_bytes_differ(spark, one, other):
+    rest = " ".join(f"w{i}" for i in range(49))
+    docs = frame(spark, [(1, f"{one} {rest}", *[None] * 6), (2, f"{other} {rest}", *[None] * 6)])
+    assert {r.doc_id: r.n_removed for r in anchors.removal_digest(docs).collect()} == {1: 0, 2: 0}
+    docs = frame(spark, [(1, one, *[None] * 6), (2, other, *[None] * 6)])
+    assert {r.doc_id: (r.component_id, r.n_links) for r in ngram_jaccard.linked(docs).collect()} == {1: (1, 0), 2: (2, 0)}
+
+
+def test_word_hashes():
+    import random
+
+    from tickloom.llm.common import new_key, words
+
+    rnd = random.Random(6)
+    texts = [" ".join("".join(rnd.choice("abAB\0é") for _ in range(rnd.choice((1, 2, 7, 8, 9, 16, 17, 40, 300)))) for _ in range(40)) for _ in range(20)]
+    raw = [t.encode() for t in texts]
+    for lower in (False, True):
+        key = new_key()
+        h, start, end, offs = words(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]), lower, key)
+        flat = [w for t in raw for w in t.split(b" ")]
+        assert [b"".join(raw)[a:b] for a, b in zip(start, end, strict=True)] == flat
+        if lower:
+            flat = [w.replace(b"A", b"a").replace(b"B", b"b") for w in flat]
+        seen: dict = {}
+        for w, v in zip(flat, h.tolist(), strict=True):
+            assert seen.setdefault(w, v) == v
+        assert len(set(seen.values())) == len(seen)
+        assert list(offs) == list(np.cumsum([0, *(len(t.split(b" ")) for t in raw)]))
+        again = words(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]), lower, new_key())[0]
+        assert (again != h).all()

@@ -1,7 +1,8 @@
 """Substring deduplication with difference-cover anchors, on words.
 
 Windows of WIDTH words that start in a document with a smaller id are removed; see windows.py for the
-anchors. A word window is named by a hash of its words' hashes, of 72 bits and those of its bucket.
+anchors. A word window is named by a hash of its words' hashes, of 72 bits and those of its bucket; the words' hashes
+are keyed, by a key drawn anew for each run, so that equal names of different words can't be made on purpose.
 """
 
 from __future__ import annotations
@@ -12,19 +13,20 @@ from functools import partial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stretches, words
+from .common import Key, new_key, stretches, words
 from .windows import Finder, covered, digest, keyed, repeated_windows, with_windows
 
 WIDTH = 50
 
 
-def _word_units(data, offs):
-    h, _, _, offs = words(data, offs)
+def _word_units(data, offs, key: Key):
+    h, _, _, offs = words(data, offs, key=key)
     return partial(stretches, h), offs
 
 
-#: Period 31 of 6 members: anchors of 20 words at a fifth of all places.
-FINDER = Finder(WIDTH, 5, _word_units, least=True)
+def finder() -> Finder:
+    """Period 31 of 6 members: anchors of 20 words at a fifth of all places."""
+    return Finder(WIDTH, 5, partial(_word_units, key=new_key()), least=True)
 
 
 def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -32,7 +34,7 @@ def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = keyed(docs)
     # a word and what separates it take two bytes at least; six are usual here, and only bucket sizes depend on it
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 6
-    return rows, repeated_windows(rows, FINDER, total)
+    return rows, repeated_windows(rows, finder(), total)
 
 
 def _kept(text: bytes, starts) -> tuple[int, int, bytes]:

@@ -9,7 +9,9 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import hashlib
 import os
+import secrets
 import struct
 import tempfile
 import time
@@ -157,13 +159,9 @@ def powers(n: int, base: int = _R) -> np.ndarray:
     return have[:n]
 
 
-#: Hashes of a byte at each of 64 places of a word; words that are longer go through them again, salted.
-_PLACES = 64
-_TABLE = mix(np.arange(1, 256 * _PLACES + 1, dtype=_U) * _U(_R))
-_BYTE = _TABLE[:256]
-_LOWER = _TABLE.reshape(_PLACES, 256).copy()
-_LOWER[:, 65:91] = _LOWER[:, 97:123]
-_LOWER = _LOWER.ravel()
+_BYTE = mix(np.arange(1, 257, dtype=_U) * _U(_R))
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -226,7 +224,38 @@ def chunks(batch: pa.RecordBatch, text: str = "text", size: int = CHUNK) -> Iter
         a = b
 
 
-def words(data: np.ndarray, offs: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+#: A key for the hashes of words, two numbers below 2**64: an operator draws one a run and gives it to all its tasks,
+#: so that no one can make two words of one hash beforehand.
+Key = tuple[int, int]
+#: Bytes from which a word is hashed by itself, under the same key.
+LONG_WORD = 256
+
+
+def new_key() -> Key:
+    return secrets.randbits(64), secrets.randbits(64)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: Key) -> np.ndarray:
+    """A keyed hash of each data[start:end]: a chain of mixed steps over its length and its blocks of eight bytes."""
+    a, b = _U(key[0]), _U(key[1] | 1)
+    length = end - start
+    blocks = np.ndarray((len(data) + 1,), dtype="<u8", buffer=np.append(data, np.zeros(8, dtype=np.uint8)), strides=(1,))
+    h = mix(length.astype(_U) * b ^ a)
+    at, left = np.flatnonzero(length <= LONG_WORD), 0
+    while len(at):
+        rest = length[at] - left
+        block = blocks[start[at] + left]
+        block[rest < 8] &= (_U(1) << (rest[rest < 8] * 8).astype(_U)) - _U(1)
+        h[at] = mix((h[at] ^ block) * b)
+        left += 8
+        at = at[rest > 8]
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=struct.pack("<QQ", *key)).digest()
+        h[i] ^= _U(int.from_bytes(digest, "little"))
+    return mix(h ^ a)
+
+
+def words(data: np.ndarray, offs: np.ndarray, lower: bool = False, key: Key = (0, 0)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first byte, end byte) of each word and n + 1 offsets of documents into the words."""
     n = len(data)
     if not n:
@@ -243,14 +272,7 @@ def words(data: np.ndarray, offs: np.ndarray, lower: bool = False) -> tuple[np.n
     edge[0], edge[n] = False, inside[-1]
     edge[cut] |= inside[cut - 1]
     end = np.flatnonzero(edge)
-    length = end - start
-    first = np.cumsum(length) - length
-    at = np.flatnonzero(inside)
-    place = np.arange(len(at)) - np.repeat(first, length)
-    value = (_LOWER if lower else _TABLE)[(place % _PLACES << 8) + data[at]]
-    far = np.flatnonzero(place >= _PLACES)
-    value[far] = mix(value[far] + (place[far] // _PLACES).astype(_U) * _U(_R))
-    h = mix(np.add.reduceat(value, first)) if len(first) else np.zeros(0, dtype=_U)
+    h = word_hashes(_LOWER[data] if lower else data, start, end, key)
     return h, start, end, np.searchsorted(start, offs)
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB, among, apart_from, bucket_count, chunks, dealt, exchange, grown, id_table, materialize, mix, owners, pack, repeated, sparing, unpack, without, words
+from .common import BLOB, Key, among, apart_from, bucket_count, chunks, dealt, exchange, grown, id_table, materialize, mix, new_key, owners, pack, repeated, sparing, unpack, without, words
 from .components import components
 from .windows import NULLS, keyed
 
@@ -39,9 +39,9 @@ LINK_CLASSES, LINK_SHINGLES, SLAB = 512, 500_000, 2048
 _M = np.uint64(0x9FB21C651E98DF25)
 
 
-def shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct shingles of each document, and document offsets into them."""
-    h, _, _, offs = words(data, offs, lower=True)
+def shingles(data: np.ndarray, offs: np.ndarray, key: Key = (0, 0)) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct shingles of each document, and document offsets into them; words are hashed under the key."""
+    h, _, _, offs = words(data, offs, lower=True, key=key)
     n = np.diff(offs)
     own = owners(offs)
     place = np.arange(len(h)) - offs[own]
@@ -132,13 +132,13 @@ def sketches(value: np.ndarray, offs: np.ndarray) -> list[bytes]:
     return [row.tobytes() for row in bits]
 
 
-def fingerprints(rows: DataFrame) -> DataFrame:
+def fingerprints(rows: DataFrame, key: Key) -> DataFrame:
     """(k, h, doc_id, n_shingles, x, y, sketch): x and y are 64-bit sums over the set, equal for equal sets."""
 
     def run(batches):
         for batch in batches:
             for some, data, offs in chunks(batch):
-                v, offs = shingles(data, offs)
+                v, offs = shingles(data, offs, key)
                 x = np.concatenate([[np.uint64(0)], np.cumsum(v)])[offs]
                 y = np.concatenate([[np.uint64(0)], np.cumsum(mix(v ^ _M))])[offs]
                 columns = [*(some.column(i) for i in range(3)), pa.array(np.diff(offs)), pa.array(np.diff(x).view(np.int64)), pa.array(np.diff(y).view(np.int64)), pa.array(sketches(v, offs), pa.binary())]
@@ -171,7 +171,7 @@ def near(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     return both.mapInArrow(sparing(run), "a long, b long").distinct()
 
 
-def _postings(rows: DataFrame, most: int, buckets: int) -> DataFrame:
+def _postings(rows: DataFrame, most: int, buckets: int, key: Key) -> DataFrame:
     """(key, k) of segments that two or more documents have."""
     import pandas as pd
 
@@ -180,11 +180,11 @@ def _postings(rows: DataFrame, most: int, buckets: int) -> DataFrame:
     def parts(batches):
         for batch in batches:
             for some, data, offs in chunks(batch):
-                v, offs = shingles(data, offs)
-                key, doc = segment_keys(v, offs, bands)
+                v, offs = shingles(data, offs, key)
+                segment, doc = segment_keys(v, offs, bands)
                 ids = id_table(some)
                 ids["h"] = 0  # not asked for here
-                yield key, doc, np.zeros(len(key), dtype=np.uint32), ids, None
+                yield segment, doc, np.zeros(len(segment), dtype=np.uint32), ids, None
 
     def reduce(r):
         hit = repeated(r)
@@ -194,7 +194,7 @@ def _postings(rows: DataFrame, most: int, buckets: int) -> DataFrame:
     return exchange(entries, reduce, "key long, k long")
 
 
-def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, rows: DataFrame, key: Key) -> DataFrame:
     """The pairs(a, b) whose shingle sets are similar, by their whole texts."""
     ids = pairs.select(F.col("a").alias("k")).union(pairs.select("b"))
     texts = among(rows, ids, "k").select("k", "text")
@@ -209,7 +209,7 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
                     for t in pair:
                         if t not in sets:
                             raw = np.frombuffer(t.encode(), dtype=np.uint8)
-                            sets[t] = shingles(raw, np.array([0, len(raw)]))[0]
+                            sets[t] = shingles(raw, np.array([0, len(raw)]), key)[0]
                     x, y = map(sets.__getitem__, pair)
                     z = np.sort(np.concatenate([x, y]), kind="stable")
                     common = int((z[1:] == z[:-1]).sum())
@@ -272,7 +272,7 @@ def similar(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> np.ndarray:
     return (common > 0) & (DEN * common >= NUM * (x["n"][:, None] + y["n"][None, :] - common))
 
 
-def link_counts(classes: DataFrame, rows: DataFrame) -> DataFrame:
+def link_counts(classes: DataFrame, rows: DataFrame, key: Key) -> DataFrame:
     """(rep, rep_h, others): rows whose sets are similar to a class's and not equal, from (component, rep, rep_h, n_shingles, weight).
 
     A component of many classes is cut into blocks, each of which meets each other once.
@@ -289,7 +289,7 @@ def link_counts(classes: DataFrame, rows: DataFrame) -> DataFrame:
             for r in batch.to_pylist():
                 m = r["m"]
                 raw = [e["text"].encode() for e in m]
-                v, offs = shingles(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))
+                v, offs = shingles(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]), key)
                 blob = pack(v=v, n=np.diff(offs).astype(np.int64), **{c: np.array([e[c] for e in m], dtype=np.int64) for c in ("k", "h", "weight")})
                 yield pa.RecordBatch.from_arrays([*(pa.array([r[c]]) for c in ("component", "own", "blocks")), pa.array([blob], pa.binary())], names=["component", "own", "blocks", "sets"])
 
@@ -324,20 +324,20 @@ def linked(docs: DataFrame, counted: bool = True) -> DataFrame:
     several texts, which joins what they link with. n_links is counted for each row, equal rows included, and
     only if `counted`.
     """
-    rows = keyed(docs)
-    prints = materialize(fingerprints(rows))
+    rows, key = keyed(docs), new_key()
+    prints = materialize(fingerprints(rows, key))
     classes = prints.filter("n_shingles > 0").groupBy("n_shingles", "x", "y").agg(F.min(F.struct("k", "h")).alias("r"), F.count("*").alias("weight"))
     classes = classes.select("n_shingles", "x", "y", F.col("r.k").alias("rep"), F.col("r.h").alias("rep_h"), "weight")
     members = materialize(prints.join(grown(classes), ["n_shingles", "x", "y"], "left").select("k", "h", "doc_id", "n_shingles", "rep", "rep_h", "weight"))
     total, most = members.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.coalesce(F.max("n_shingles"), F.lit(0))).first()
     # only one document of each class goes on; texts of the others are told apart by a filter, then exactly
     gone = materialize(members.filter("rep is null or k != rep").select("k", "h"))
-    postings = materialize(_postings(without(rows, gone), most, bucket_count(docs.sparkSession, total * 3 // 5)), release=True)
+    postings = materialize(_postings(without(rows, gone), most, bucket_count(docs.sparkSession, total * 3 // 5), key), release=True)
     lone = prints.join(grown(gone), ["k", "h"], "left_anti")
     hubs = postings.groupBy("key").agg(F.min("k").alias("hub"), F.count("*").alias("size")).filter("size > 1")
     star = postings.join(grown(hubs), "key").filter("k != hub").select(F.col("hub").alias("a"), F.col("k").alias("b")).distinct()
     star = materialize(near(star, lone), release=True)
-    links = materialize(verified(star, rows), release=True)
+    links = materialize(verified(star, rows, key), release=True)
     found = components(links)
     # what the stars leave open: segments whose members lie in several components
     placed = postings.join(grown(found.withColumnRenamed("id", "k")), "k", "left").select("key", "k", F.coalesce("component", "k").alias("component"))
@@ -347,7 +347,7 @@ def linked(docs: DataFrame, counted: bool = True) -> DataFrame:
     other = small.select("key", F.col("k").alias("b"), F.col("component").alias("cb"))
     pairs = small.select("key", F.col("k").alias("a"), F.col("component").alias("ca")).join(grown(other), "key").filter("a < b and ca != cb").select("a", "b")
     pairs = pairs.distinct().union(_block_pairs(left.filter(F.col("size") > SMALL), lone)).distinct().join(grown(star), ["a", "b"], "left_anti")
-    more = materialize(verified(materialize(near(pairs, lone), release=True), rows), release=True)
+    more = materialize(verified(materialize(near(pairs, lone), release=True), rows, key), release=True)
     found = materialize(components(links.union(more)).withColumnRenamed("id", "rep"))
     component = F.coalesce("component", "rep")
     out = members.join(grown(found), "rep", "left")
@@ -356,7 +356,7 @@ def linked(docs: DataFrame, counted: bool = True) -> DataFrame:
     # similar classes are always of one component, so its pairs are all that can link
     one = members.filter("rep is not null").select("rep", "rep_h", "n_shingles", "weight").distinct()
     one = one.join(grown(found), "rep", "left").withColumn("component", component)
-    others = link_counts(one, rows)
+    others = link_counts(one, rows, key)
     n_links = F.coalesce("others", F.lit(0)) + F.coalesce(F.col("weight") - 1, F.lit(0))
     return out.join(grown(others), ["rep", "rep_h"], "left").select("doc_id", *_placed(), n_links.cast("long").alias("n_links"))
 

@@ -17,10 +17,10 @@ def _path(name: str) -> str:
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links. Null, empty and wordless texts have no shingles, no links and
-    their own id as component; null ids come out as null; repeated rows link with each other.
+    """doc_id, n_shingles, component_id. Null, empty and wordless texts have no shingles, no links and their own id as
+    component; null ids come out as null; repeated rows link with each other.
     """
-    return ngram_jaccard.linked(documents(spark, sf_dir))
+    return ngram_jaccard.linked(documents(spark, sf_dir), counted=False)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
