@@ -22,15 +22,18 @@ class Indicators:
     the RSI. An indicator without a single output ends a chain; then() after it raises ChainError.
 
     Pivots read bars of `period` (minute, hour, day, week, month, year), which may only begin a chain. Indicators
-    of two series need the `market`, bars of one symbol; rows without a market bar of the same time are left out.
+    of two series need the `market`, bars of one symbol. A bar without a market bar of the same time is an error when the
+    frame is used, or is left out if `missing` is "drop". `input` names the price that the first indicator reads.
     """
 
-    def __init__(self, bars: DataFrame, source: E | None = None, market: DataFrame | None = None, period: str = "day"):
-        self.bars = bars if market is None else with_market(bars, market)
+    def __init__(self, bars: DataFrame, source: E | None = None, market: DataFrame | None = None, period: str = "day", missing: str = "raise", input: str = "Close"):
+        self.bars = bars if market is None else with_market(bars, market, missing)
         self.period, self.paired = period, market is not None
         self.context = Context(MARKET if self.paired else ())
         if source is not None:
             self.context.x = source
+        elif input != "Close":
+            self.context.select(input)
         self.last: Result | None = None
 
     def then(self, name: str, **params) -> Indicators:
@@ -70,9 +73,9 @@ def columns(result: Result) -> dict[str, E]:
     return out | ({"trade_signal": result.signal} if result.signal is not None else {})
 
 
-def indicator(bars: DataFrame, name: str, market: DataFrame | None = None, period: str = "day", segment_rows: int | None = None, **params) -> DataFrame:
-    """One indicator over bars."""
-    return Indicators(bars, market=market, period=period).then(name, **params).frame(segment_rows)
+def indicator(bars: DataFrame, name: str, market: DataFrame | None = None, period: str = "day", segment_rows: int | None = None, missing: str = "raise", input: str = "Close", **params) -> DataFrame:
+    """One indicator over bars; `input` names the price it reads, one of registry.INPUTS."""
+    return Indicators(bars, market=market, period=period, missing=missing, input=input).then(name, **params).frame(segment_rows)
 
 
 def splits(name: str, **params) -> bool:
@@ -81,9 +84,13 @@ def splits(name: str, **params) -> bool:
     return in_segments(s, columns(REGISTRY[name].run(s, **params)))
 
 
+#: Registered as an average of its own, but no indicator of the catalogue.
+INNER = {"LinearRegressionValue"}
+
+
 def catalog(spark: SparkSession) -> DataFrame:
     """(name, category, parameters, is_average) of all indicators."""
-    rows = [(s.name, s.category, ", ".join(f"{k}={v}" for k, v in s.params.items()), s.average) for s in REGISTRY.values()]
+    rows = [(s.name, s.category, ", ".join(f"{k}={v}" for k, v in s.params.items()), s.average) for s in REGISTRY.values() if s.name not in INNER]
     return spark.createDataFrame(rows, "name string, category string, parameters string, is_average boolean")
 
 

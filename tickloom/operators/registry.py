@@ -43,6 +43,10 @@ REGISTRY: dict[str, Spec] = {}
 AVERAGES: dict[str, Callable[..., E]] = {}
 
 SMA, EMA, WMA, WILDER = "SimpleMovingAverage", "ExponentialMovingAverage", "WeightedMovingAverage", "WellesWilderMovingAverage"
+#: Inputs by name: a column of the bars, or None for a price that the indicator of that name makes.
+INPUTS = {"Close": "close", "AdjustedClose": "close", "Open": "open", "High": "high", "Low": "low", "Volume": "volume"} | dict.fromkeys(
+    ("TypicalPrice", "FullTypicalPrice", "MedianPrice", "WeightedClose", "AveragePrice", "Midpoint", "Midprice")
+)
 #: A variance below this share of the squared mean is what rounding leaves of equal values.
 TINY = 1e-20
 #: Other names of averages.
@@ -117,6 +121,14 @@ class Context(Series):
 
     # ---- inputs --------------------------------------------------------------------------------
 
+    def select(self, name: str) -> None:
+        """Makes a price the input, by one of the names in INPUTS."""
+        if name not in INPUTS:
+            raise ValueError(f"no input {name}; there are {', '.join(INPUTS)}")
+        column = INPUTS[name]
+        self.x = self.close
+        self.x = getattr(self, column) if column else self.let(self.run(name).value)
+
     @property
     def typical(self):
         return (self.high + self.low + self.close) / 3
@@ -135,6 +147,8 @@ class Context(Series):
         x = self.let(x)
         if x.sql == self.close.sql:
             return self.high, self.low
+        if x.sql == self.volume.sql:
+            return self.max(x, 2), self.min(x, 2)
         total = self.whole("sum({})", x)
         inside = (total >= self.whole("sum({})", self.low)) & (total <= self.whole("sum({})", self.high))
         return self.let(where(inside, self.high, self.max(x, 2))), self.let(where(inside, self.low, self.min(x, 2)))

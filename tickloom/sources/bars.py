@@ -74,9 +74,20 @@ def _coarser(bars: DataFrame, *keys) -> DataFrame:
 MARKET = ("market_open", "market_high", "market_low", "market_close", "market_volume")
 
 
-def with_market(bars: DataFrame, market: DataFrame) -> DataFrame:
-    """bars with the market's bar of the same time; market has one symbol."""
-    return bars.join(market.select("ts", *(F.col(c[7:]).alias(c) for c in MARKET)), "ts").select(*COLUMNS, *MARKET)
+def with_market(bars: DataFrame, market: DataFrame, missing: str = "raise") -> DataFrame:
+    """bars with the market's bar of the same time; market has one symbol.
+
+    A bar whose time the market lacks fails the job that reads it, with the symbol and the time; with missing="drop"
+    it is left out.
+    """
+    if missing not in ("raise", "drop"):
+        raise ValueError("missing is raise or drop")
+    side = market.select("ts", *(F.col(c[7:]).alias(c) for c in MARKET))
+    if missing == "drop":
+        return bars.join(side, "ts").select(*COLUMNS, *MARKET)
+    lacks = F.raise_error(F.concat(F.lit("the market has no bar of "), F.coalesce(F.col("ts").cast("string"), F.lit("an unknown time")), F.lit(", which the symbol has: "), F.coalesce("symbol", F.lit("null"))))
+    joined = bars.join(side, "ts", "left")
+    return joined.select(*COLUMNS, *(F.when(F.col(c).isNull(), lacks.cast("double")).otherwise(F.col(c)).alias(c) for c in MARKET))
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
