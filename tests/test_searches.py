@@ -11,7 +11,7 @@ from tickloom.operators import indicators as ta
 from tickloom.operators.registry import AVERAGES
 
 from .test_indicators import bars, values
-from .test_more_indicators import candles, walk
+from .test_more_indicators import candles, rsi, walk
 from .test_nested_inputs import N, at, check, data, ema, wma  # noqa: F401
 
 PI = math.pi
@@ -268,3 +268,32 @@ def test_every_average_can_be_asked_for_by_name(kind):
     out = s.ma(kind, s.x, 20)
     assert s.stages([s.let(out)])
 
+
+
+def test_recursive_relative_strength(data):  # noqa: F811
+    n, x = 5, data["c"]
+    change = [x[i] - x[i - n] if i >= n else 0.0 for i in range(N)]
+    src = [sum(change[i - n + 1 : i + 1]) / n if i + 1 >= n else 0.0 for i in range(N)]
+    r, b, avg, up = rsi(src, n), [], [], []
+    for i in range(N):
+        avg.append((r[i] + (b[i - n] if i >= n else src[i])) / 2)
+        move = round(avg[i] - at(avg, i - n), 9)
+        up.append(100.0 if move >= 0 else 0.0)
+        b.append(sum(up[i - n : i]) / n if i >= n else up[i])
+    check(data, "RecursiveRelativeStrengthIndex", {"Rrsi": b}, n=n)
+
+
+def test_adaptive_band_pass(data):  # noqa: F811
+    n1, n2, n3 = 16, 6, 3
+    cycle = ta.Indicators(data["df"]).then("EhlersAutoCorrelationPeriodogram", n1=n1, n2=n2, n3=n3)
+    d = values(cycle.frame(), "Eacp")
+    x = values(ta.Indicators(data["df"]).then("EhlersAutoCorrelationPeriodogram", n1=n1, n2=n2, n3=n3).then("EhlersRoofingFilterV2", upper=n1, lower=n2).frame(), "Erf")
+    bp, out, peak = [], [], 0.0
+    for i in range(N):
+        size = min(max(d[i], n3), n1)
+        g = 1 / math.cos(2 * PI * 0.3 / 0.9 * size)
+        a, b = unit(g - math.sqrt(g * g - 1)), math.cos(2 * PI / 0.9 * size)
+        bp.append(0.5 * (1 - a) * (x[i] - at(x, i - 2)) + b * (1 + a) * at(bp, i - 1) - a * at(bp, i - 2) if i > 2 else 0.0)
+        peak = max(0.991 * peak, abs(bp[i]))
+        out.append(bp[i] / peak if peak else 0.0)
+    check(data, "EhlersAdaptiveBandPassFilter", {"Eabpf": out, "Signal": [0.9 * at(out, i - 1) for i in range(N)]}, n1=n1, n2=n2, n3=n3)
