@@ -204,3 +204,28 @@ def test_decontamination_of_short_items(spark):
     assert {(i, i) for i in range(len(items))} <= got
     assert {i for d, i in got if d == 100} == {items.index("Question 5 What is the name of that old river ?")}
     assert not {d for d, _ in got} & {101, 102}
+
+
+def test_code_lengths_of_parts_of_a_text_add_up(monkeypatch):
+    """Slices within texts, against one slice, and against a plain sum over the model's tables."""
+    import random
+    import tracemalloc
+
+    rnd = random.Random(4)
+    texts = ["", "a", "Ähnlich wie früher", prose(rnd, 400), "x" * 50, prose(rnd, 900, "de"), "  ", prose(rnd, 3)]
+    raw = [t.encode() for t in texts]
+    data, offs = langid.fold(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))
+    g = langid.grams(data, offs)
+    n = np.array([rnd.randrange(1, 9) for _ in g])
+    model = langid.PpmModel(["a", "b"], np.arange(len(g)) % 2, g, n)
+    want = model.lengths(data, offs)
+    for part in (1, 2, 5, 64, 1000):
+        monkeypatch.setattr(langid, "PART", part)
+        assert (model.lengths(data, offs) == want).all()
+    monkeypatch.setattr(langid, "PART", 1 << 18)
+    long = np.frombuffer(("der fluss " * 2_000_000).encode(), dtype=np.uint8)
+    tracemalloc.start()
+    bits = model.lengths(*langid.fold(long, np.array([0, len(long)])))
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20  # of 20 MB of text
+    tracemalloc.stop()
+    assert bits.shape == (1, 2) and (bits > 0).all()

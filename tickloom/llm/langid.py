@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, owners, sparing
+from .common import chunks, sparing
 
 ORDER = 3
 UNIT = 1024
-#: Bytes of text whose code lengths are summed at once: a hundred bytes of memory go to each.
+#: Bytes of text whose code lengths are summed at once, within a text too: a hundred bytes of memory go to each.
 PART = 1 << 18
 UND = "und"
 
@@ -42,7 +42,7 @@ def fold(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keep = np.ones(len(out), dtype=bool)
     keep[1:] = (out[1:] != 32) | (out[:-1] != 32)
     keep[offs[:-1][offs[:-1] < len(out)]] = True
-    return out[keep], np.concatenate([[0], np.cumsum(keep)])[offs]
+    return out[keep], np.cumsum([0, *(np.count_nonzero(keep[a:b]) for a, b in zip(offs[:-1], offs[1:], strict=True))])
 
 
 def grams(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -71,7 +71,14 @@ def gram_counts(docs: DataFrame, languages: list[str]) -> DataFrame:
             for some, data, offs in chunks(batch):
                 lang = np.array([languages.index(x) for x in some.column(1).to_pylist()], dtype=np.int64)
                 data, offs = fold(data, offs)
-                key, n = np.unique(lang[owners(offs)] << 32 | grams(data, offs), return_counts=True)
+                parts = []
+                for begin in range(0, len(data), PART):
+                    end, low = min(begin + PART, len(data)), max(0, begin - ORDER)
+                    g = grams(data[low:end], np.clip(offs - low, 0, end - low))[begin - low :]
+                    parts.append(np.unique(lang[np.searchsorted(offs, np.arange(begin, end), side="right") - 1] << 32 | g, return_counts=True))
+                if not parts:
+                    continue
+                key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(key >> 32), pa.array(key & 0xFFFFFFFF), pa.array(n.astype(np.int64))], names=["k", "gram", "n"])
 
     return docs.select("text", "lang").mapInArrow(sparing(run), "k long, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n"))
@@ -114,14 +121,22 @@ class PpmModel:
             self.high[:, lang] = np.rint(-np.log2(p.reshape(-1)) * UNIT)
 
     def lengths(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """Code length of each folded text in each language, in 1/UNIT bits."""
-        g = grams(data, offs)
-        s = [self.symbols[g >> (8 * j) & 0xFF] for j in range(ORDER + 1)]
-        at = self.place[(s[3] * self.a + s[2]) * self.a + s[1]]
-        cost = np.where((at >= 0)[:, None], self.high[np.maximum(at, 0) * self.a + s[0]] if len(self.high) else 0, self.low[(s[2] * self.a + s[1]) * self.a + s[0]])
-        total = np.zeros((len(data) + 1, len(self.languages)), dtype=np.int64)
-        np.cumsum(cost, axis=0, out=total[1:])
-        return total[offs[1:]] - total[offs[:-1]]
+        """Code length of each folded text in each language, in 1/UNIT bits.
+
+        PART bytes at a time, with the ORDER bytes before them, so that a text of any length takes the same memory.
+        """
+        out = np.zeros((len(offs) - 1, len(self.languages)), dtype=np.int64)
+        for begin in range(0, len(data), PART):
+            end, low = min(begin + PART, len(data)), max(0, begin - ORDER)
+            g = grams(data[low:end], np.clip(offs - low, 0, end - low))[begin - low :]
+            s = [self.symbols[g >> (8 * j) & 0xFF] for j in range(ORDER + 1)]
+            at = self.place[(s[3] * self.a + s[2]) * self.a + s[1]]
+            cost = np.where((at >= 0)[:, None], self.high[np.maximum(at, 0) * self.a + s[0]] if len(self.high) else 0, self.low[(s[2] * self.a + s[1]) * self.a + s[0]])
+            total = np.zeros((len(cost) + 1, len(self.languages)), dtype=np.int64)
+            np.cumsum(cost, axis=0, out=total[1:])
+            within = np.clip(offs - begin, 0, end - begin)
+            out += total[within[1:]] - total[within[:-1]]
+        return out
 
 
 def fit(docs: DataFrame, fit_docs: int = 800) -> PpmModel | None:
