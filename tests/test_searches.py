@@ -265,10 +265,32 @@ def test_every_average_can_be_asked_for_by_name(kind):
     from tickloom.operators.registry import Context
 
     s = Context()
-    out = s.ma(kind, s.x, 20)
+    if kind in ("DynamicallyAdjustableMovingAverage", "EhlersAdaptiveLaguerreFilter", "EhlersDeviationScaledSuperSmoother", "EhlersRecursiveMedianFilter", "EhlersVariableIndexDynamicAverage"):
+        with pytest.raises(ValueError, match="has no values without"):
+            s.ma(kind, s.x, 20)
+        out = s.ma(kind, s.x, 20, 5, 20)
+    else:
+        out = s.ma(kind, s.x, 20)
     assert s.stages([s.let(out)])
 
 
+def test_lengths_that_averages_are_given(spark):
+    from tickloom.operators.registry import Context
+
+    x = walk(60)
+    df = bars(spark, {"A": x})
+
+    def of(kind, n, *more):
+        s = Context()
+        return values(s.frame(df, {"y": s.ma(kind, s.x, n, *more)}), "y")
+
+    assert of("VariableLengthMovingAverage", 20) == pytest.approx(values(ta.indicator(df, "VariableLengthMovingAverage", n=20, short=0), "Vlma"))
+    assert of("AdaptiveMovingAverage", 9) == pytest.approx(values(ta.indicator(df, "AdaptiveMovingAverage", n=9, fast=0, slow=9), "Ama"))
+    assert of("EhlersDeviationScaledMovingAverage", 9) == pytest.approx(values(ta.indicator(df, "EhlersDeviationScaledMovingAverage", n=18, fast=9), "Edsma"))
+    assert of("MiddleHighLowMovingAverage", 9, 4, 12) == pytest.approx(values(ta.indicator(df, "MiddleHighLowMovingAverage", n=12, short=4), "Mhlma"))
+    assert of("EhlersFilter", 9) == [0.0] * 60
+
+
 
 def test_recursive_relative_strength(data):  # noqa: F811
     n, x = 5, data["c"]

@@ -195,6 +195,12 @@ PYTHON = {
     "_gain": _gain,
     "_undivided": _undivided,
     "_filter_bank": kernels.filter_bank,
+    "_roll_sum": kernels.roll_sum,
+    "_roll_avg": kernels.roll_avg,
+    "_roll_max": kernels.roll_max,
+    "_roll_min": kernels.roll_min,
+    "_roll_lag": kernels.roll_lag,
+    "_roll_last": kernels.roll_last,
     "_burg_ahead": kernels.burg_ahead,
     "_count_back": kernels.count_back,
     "math": math,

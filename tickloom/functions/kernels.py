@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import deque
 from functools import cache
 
 import numpy as np
@@ -89,3 +90,69 @@ def count_back(highs: list[float], lows: list[float], x: float, top: float, bott
                     line = l[k]
                     break
     return line
+
+
+# ---- windows -------------------------------------------------------------------------------------
+# As SQL has them: a null is no value, and without a value the result is null. n rows, or all so far.
+
+
+def roll_sum(state, x, n=None):
+    """state: the last n values, their sum, what it lacks, and how many are no null."""
+    if state is None:
+        state = [deque(), 0.0, 0.0, 0]
+    values, total, rest, count = state
+    gone = None
+    if n is not None:
+        values.append(x)
+        if len(values) > n:
+            gone = values.popleft()
+    for v in (x, None if gone is None else -gone):
+        if v is not None:  # compensated, so that what a large value took is there again once it is gone
+            new = total + v
+            rest += (total - new) + v if abs(total) >= abs(v) else (v - new) + total
+            total = new
+    count += (x is not None) - (gone is not None)
+    if total - total != 0 and n is not None:  # an infinite value, which can't be taken off again
+        total, rest = float(sum(v for v in values if v is not None)), 0.0
+    state[1:] = total, rest, count
+    return (total + rest if count else None), state
+
+
+def roll_avg(state, x, n=None):
+    total, state = roll_sum(state, x, n)
+    return (None if total is None else total / state[3]), state
+
+
+def _roll_best(state, x, n):
+    """state: the number of rows, and the values that are best from their row on, by row."""
+    if state is None:
+        state = [0, deque()]
+    state[0] += 1
+    best = state[1]
+    if x is not None:
+        while best and best[-1][1] <= x:
+            best.pop()
+        best.append((state[0], x))
+    if n is not None and best and best[0][0] <= state[0] - n:
+        best.popleft()
+    return (best[0][1] if best else None), state
+
+
+def roll_max(state, x, n=None):
+    return _roll_best(state, x, n)
+
+
+def roll_min(state, x, n=None):
+    y, state = _roll_best(state, None if x is None else -x, n)
+    return (None if y is None else -y), state
+
+
+def roll_lag(state, x, k):
+    if state is None:
+        state = deque([None] * (k + 1), k + 1)
+    state.append(x)
+    return state[0], state
+
+
+def roll_last(state, x):
+    return (state if x is None else x), (state if x is None else x)

@@ -588,8 +588,8 @@ def EhlersMovingAverageDifferenceIndicator(s, ma=WMA, fast=8, slow=23):
 
 
 @indicator("Cycle")
-def EhlersFisherizedDeviationScaledOscillator(s, ma="EhlersDeviationScaledMovingAverage", n=40):
-    f = s.ma(ma, s.x, n)
+def EhlersFisherizedDeviationScaledOscillator(s, ma="EhlersDeviationScaledMovingAverage", fast=20, slow=40):
+    f = s.ma(ma, s.x, fast, fast, slow)
     v = s.let(log(div(f / 2 + 1, 1 - f / 2)) * 0.5)
     return turned(s, "Efdso", s.rec(lambda y: where(abs_(f) < 2, v, y)), 2, -2)
 

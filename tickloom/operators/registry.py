@@ -56,6 +56,27 @@ ALIASES = {
 }
 
 
+def _or(given: int | None, other: int) -> int:
+    return other if given is None else given
+
+
+#: How averages with two lengths take theirs from (n, fast, slow), and the length that has to be above 0, if any.
+TWO_LENGTHS: dict[str, Callable[[int, int | None, int | None], tuple[dict[str, int], str]]] = {
+    "AdaptiveMovingAverage": lambda n, f, s: ({"n": n, "fast": _or(f, 0), "slow": _or(s, n)}, ""),
+    "DynamicallyAdjustableMovingAverage": lambda n, f, s: ({"fast": _or(f, 0), "slow": _or(s, n)}, "fast"),
+    "EhlersAdaptiveLaguerreFilter": lambda n, f, s: ({"n1": _or(s, n), "n2": _or(f, 0)}, "n2"),
+    "EhlersDeviationScaledMovingAverage": lambda n, f, s: ({"n": _or(s, 2 * n), "fast": _or(f, n)}, ""),
+    "EhlersDeviationScaledSuperSmoother": lambda n, f, s: ({"n": _or(f, n), "long": _or(s, 0)}, "long"),
+    "EhlersFilter": lambda n, f, s: ({"n": _or(s, n), "k": _or(f, 0)}, ""),
+    "EhlersRecursiveMedianFilter": lambda n, f, s: ({"n": _or(f, 0), "long": _or(s, n)}, "n"),
+    "EhlersVariableIndexDynamicAverage": lambda n, f, s: ({"n": _or(s, n), "fast": _or(f, 0)}, "fast"),
+    "MiddleHighLowMovingAverage": lambda n, f, s: ({"n": _or(s, n), "short": _or(f, 0)}, ""),
+    "ReverseMovingAverageConvergenceDivergence": lambda n, f, s: ({"n": _or(s, n), "fast": _or(f, 0)}, ""),
+    "UltimateMovingAverage": lambda n, f, s: ({"most": _or(s, n), "least": _or(f, 0)}, ""),
+    "VariableLengthMovingAverage": lambda n, f, s: ({"n": _or(s, n), "short": _or(f, 0)}, ""),
+}
+
+
 def indicator(category: str = "Trend", name: str | None = None, input: str = "bars"):
     """Registers f(s, **params) -> Result under its CamelCase name."""
 
@@ -238,8 +259,15 @@ class Context(Series):
 
     # ---- averages, spreads ---------------------------------------------------------------------
 
-    def ma(self, kind: str, x: E, n: int) -> E:
-        return AVERAGES[ALIASES.get(kind, kind)](self, self.let(x), n)
+    def ma(self, kind: str, x: E, n: int, fast: int | None = None, slow: int | None = None) -> E:
+        """An average by name. Of those with two lengths, `fast` counts as 0 where it is not given, and `slow` as n."""
+        kind = ALIASES.get(kind, kind)
+        if kind not in TWO_LENGTHS:
+            return AVERAGES[kind](self, self.let(x), n)
+        params, needs = TWO_LENGTHS[kind](n, fast, slow)
+        if needs in params and not params[needs]:
+            raise ValueError(f"{kind} has no values without the length `{needs}`: give ma() fast and slow")
+        return AVERAGES[kind](self, self.let(x), **params)
 
     def sma(self, x, n):
         return self.ma(SMA, x, n)

@@ -227,8 +227,7 @@ def _reverse_macd(s, x, fast, slow, ma):
     return s.let((s.lag(s.ma(ma, x, fast), 1) * a - s.lag(s.ma(ma, x, slow), 1) * b) / (a - b))
 
 
-#: As an average it is called without a fast length, which counts as 0.
-AVERAGES["ReverseMovingAverageConvergenceDivergence"] = lambda s, x, n: _reverse_macd(s, x, 0, n, EMA)
+AVERAGES["ReverseMovingAverageConvergenceDivergence"] = lambda s, x, n, fast=0: _reverse_macd(s, x, fast, n, EMA)
 
 
 def _linear_lines(s, x, n):

@@ -10,6 +10,8 @@ over the whole symbol, as in `Series.frame`; the columns around it stay in segme
 from __future__ import annotations
 
 import ast
+import os
+import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -268,11 +270,16 @@ def _replayed(df: DataFrame, nodes: list[Node], reads: list[str]) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written below spark.checkpoint.dir and read again: what is read twice is made once, and survives lost executors."""
+    """df written below spark.checkpoint.dir and read again: what is read twice is made once, and survives lost executors.
+
+    Only where the session names no folder and runs on one machine, as in tests, a local one is taken.
+    """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "tickloom-checkpoints")
     path = f"{base.rstrip('/')}/tickloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

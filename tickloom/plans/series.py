@@ -35,6 +35,10 @@ class Node:
     arg: E | None = None
 
 
+#: What keeps the rows of a window within a scan, by its SQL.
+FOLDS = {"sum({})": "_roll_sum", "avg({})": "_roll_avg", "max({})": "_roll_max", "min({})": "_roll_min", "lag": "_roll_lag", "last": "_roll_last"}
+
+
 def _renamed(sql: str, names: dict[str, str]) -> str:
     """An expression's text with the scan's own columns named by their place."""
     place = {n: f"v{j}" for j, n in enumerate(names.values())}
@@ -112,7 +116,7 @@ class Series:
 
     def last(self, e: E, test: E) -> E:
         """The value of e on the last row, this one included, where test held; 0 before."""
-        held = self._name("w", E(f"last_value(case when {test.sql} then {e.sql} end ignore nulls) over ({BY} rows between unbounded preceding and current row)", "", e.names | test.names), reach=None, call="last", arg=E(f"case when {test.sql} then {e.sql} end"))
+        held = self._name("w", E(f"last_value(case when {test.sql} then {e.sql} end ignore nulls) over ({BY} rows between unbounded preceding and current row)", "", e.names | test.names), reach=None, call="last", arg=E(f"case when {test.sql} then {e.sql} end", f"({e.py} if {test.py} else None)", e.names | test.names))
         return E(f"coalesce({held.sql}, 0e0)", f"({held.py} or 0.0)", held.names)
 
     def array(self, e: E, n: int) -> E:
@@ -147,7 +151,7 @@ class Series:
             for _ in range(k):  # a scan hands its last value on, without a second pass
                 e = self._name("s", E(f"_old({self.let(e).sql})", f"_old({self.let(e).py})", self.let(e).names), float(default))
             return e
-        out = self._name("w", E(f"lag({e.sql}, {int(k)}) over ({BY})", "", e.names), reach=int(k))
+        out = self._name("w", E(f"lag({e.sql}, {int(k)}) over ({BY})", "", e.names), reach=int(k), call="lag", arg=e)
         d = lit(default)
         return E(f"coalesce({out.sql}, {d.sql})", f"({out.py} if {out.py} is not None else {d.py})", out.names | d.names)
 
@@ -189,16 +193,33 @@ class Series:
 
     # ---- stages --------------------------------------------------------------------------------
 
-    def stages(self, outputs: Sequence[E]) -> list[tuple[str, list[Node]]]:
+    def _folded(self) -> dict[str, Node]:
+        """The nodes, with windows over scanned columns as parts of the scan: it keeps the rows they reach back to.
+
+        Such a window would need the rows dealt and sorted once more, as what Python gives back is in no known order.
+        """
+        out: dict[str, Node] = {}
+        scanned: set[str] = set()
+        for n in self.nodes.values():
+            if n.kind == "s" or n.names & scanned:
+                scanned.add(n.name)
+            if n.kind == "w" and n.name in scanned and n.call in FOLDS:
+                args = ", ".join([n.arg.py, *([] if n.reach is None else [str(n.reach + (n.call != "lag"))])])
+                n = Node(n.name, "s", E("", f"_keep({FOLDS[n.call]}, {args})", n.names), None, n.names)
+            out[n.name] = n
+        return out
+
+    def stages(self, outputs: Sequence[E], fold: bool = False) -> list[tuple[str, list[Node]]]:
         """The nodes that outputs need, in stages: all windows and plain columns that are ready, then all scans."""
+        nodes = self._folded() if fold else self.nodes
         need, todo = set(), [n for e in outputs for n in e.names]
         while todo:
             n = todo.pop()
-            if n in self.nodes and n not in need:
+            if n in nodes and n not in need:
                 need.add(n)
-                todo += [*self.nodes[n].names, *self.nodes[n].group]
+                todo += [*nodes[n].names, *nodes[n].group]
         need.add("rn")
-        left = [n for n in self.nodes.values() if n.name in need]
+        left = [n for n in nodes.values() if n.name in need]
         done: set[str] = {*RAW, *self.extra}
         out: list[tuple[str, list[Node]]] = []
         while left:
@@ -222,7 +243,7 @@ class Series:
     def frame(self, bars: DataFrame, outputs: dict[str, E]) -> DataFrame:
         """bars with the outputs as columns."""
         df = bars
-        for kind, nodes in self.stages(list(outputs.values())):
+        for kind, nodes in self.stages(list(outputs.values()), fold=True):
             if kind == "w":
                 df = df.selectExpr("*", *(f"{_in_spark(n.expr.sql)} as {n.name}" for n in nodes))
             elif kind == "j":
@@ -364,7 +385,7 @@ def scan_frame(df: DataFrame, nodes: list[Node]) -> DataFrame:
                 state, out = space["run"](state, rows[a:b])
                 got += out
                 a = b
-            new = [pa.array([float(v) for v in c], pa.float64()) for c in zip(*got, strict=True)]
+            new = [pa.array([None if v is None else float(v) for v in c], pa.float64()) for c in zip(*got, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
 
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
