@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchors, collocations, conversations, decontam, langid, mixing, ngram_jaccard, pieces, quality, secrets, sst, suffixes, token_counts
+from . import anchors, collocations, conversations, decontam, langid, mixing, ngram_jaccard, oracles, pieces, quality, secrets, sst, suffixes, token_counts
 from .common import bounded_batches, documents
 
 
@@ -118,4 +118,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard": oracles.NEAR_COPIES,
+    "op6_suffix_dedup": oracles.STRINGS,
+    "op8_anchor_dedup": oracles.PASSAGES,
+    "op12_conversation_repair": oracles.CONVERSATIONS,
+    "op13_collocations": oracles.COLLOCATIONS,
+}
