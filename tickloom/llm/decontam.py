@@ -123,7 +123,8 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     """(key, item_id, size, exact) of the windows of the benchmark.
 
     An item of fewer than WINDOW words is one window. One whose windows hold too few literals has an exact key
-    of its first words instead, and is compared as a whole.
+    of its first words instead, and is compared as a whole. Null and empty items have no windows; items of one text
+    have the same keys, and a document that holds the text is reported for each of them.
     """
 
     def run(batches):

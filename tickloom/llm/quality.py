@@ -161,4 +161,10 @@ def judge(docs: DataFrame, rules: list[list[Test]]) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row per input row: doc_id, n_words, the four statistics, base_failed, kept.
+
+    A null or empty text has no words and fails the base rules. Repeated rows are judged each for itself. Labels of no
+    document, and null labels, teach nothing; without labelled rows no rule is learned, and the base rules decide. A
+    document that no rule covers is kept, if the base rules do not fail it.
+    """
     return judge(docs, learn(labelled_sample(docs, labels)))
