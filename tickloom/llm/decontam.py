@@ -17,6 +17,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +29,11 @@ WINDOW, LITERAL, RUN = 8, 4, 6
 #: Benchmark windows up to which their hashes (8 bytes each) go to every executor; beyond, windows meet in a join.
 SENT_WINDOWS = 2_000_000
 
-#: Words that a worker keeps the tokens of.
-LEXICON = 100_000
+#: Words that a worker keeps the tokens of; beyond, it starts anew.
+LEXICON = 400_000
 
 #: Words that count as units.
-UNITS = "mm cm m km inch inches foot feet yard yards mile miles g kg mg lb lbs pound pounds ounce ounces ton tons ml l litre litres liter liters gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years mph kmh km/h m/s dollar dollars euro euros cent cents percent degree degrees celsius fahrenheit watt watts volt volts amp amps joule joules newton newtons".split()
+UNITS = frozenset("mm cm m km inch inches foot feet yard yards mile miles g kg mg lb lbs pound pounds ounce ounces ton tons ml l litre litres liter liters gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years mph kmh km/h m/s dollar dollars euro euros cent cents percent degree degrees celsius fahrenheit watt watts volt volts amp amps joule joules newton newtons".split())
 
 _NUMBER = re.compile(r"[-+]?[$€£]?\d[\d.,:/]*%?")
 _EDGE = re.compile(r"^\W+|\W+$")
@@ -61,9 +62,7 @@ class Lexicon(dict):
         else:
             token = core.lower()
         named = 1 if token[:1] != "<" and core[:1].isupper() and core[1:].islower() else 0
-        h = 0xCBF29CE484222325
-        for b in token.encode():
-            h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+        h = xxhash.xxh64_intdigest(token.encode())
         self[word] = out = h & ~7 | named | ends | (4 if token in ("<num>", "<unit>") else 0)
         return out
 
