@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 
@@ -14,6 +15,7 @@ from .corpora import frame, prose, rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 public_tokenizers = pytest.importorskip("public_tokenizers")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def test_token_counts_equal_the_library(spark):
@@ -229,3 +231,25 @@ def test_code_lengths_of_parts_of_a_text_add_up(monkeypatch):
     assert tracemalloc.get_traced_memory()[1] < 400 << 20  # of 20 MB of text
     tracemalloc.stop()
     assert bits.shape == (1, 2) and (bits > 0).all()
+
+
+def test_known_pieces_in_new_company_are_not_encoded_again():
+    t, memo = sst._tokenizer(BYTE_BPE)[0], {}
+    ids = lambda x: np.array(t.encode(x, add_special_tokens=False).ids, dtype="<u2").tobytes()
+    first = ["One two. Three", "One, two\nThree 12"]
+    assert sst.encode(first, BYTE_BPE, memo) == [ids(x) for x in first]
+    known = set(memo)
+    again = ["One two, two.\nThree two 12, 12.", "Three, 12\nOne. two"]
+    assert sst.encode(again, BYTE_BPE, memo) == [ids(x) for x in again]
+    assert set(memo) == known
+
+
+def test_pieces_are_those_of_the_library():
+    t, rnd = sst._tokenizer(BYTE_BPE)[0], random.Random(8)
+    bits = ["a", "Zé", "ß", "ǅ", "ɐ", "1", "22", "²", "'", "'s", "'ll", "'x", ".", "...", ",", "$%&", "_", "«", "×", " ", " ", "  ", "\n", "\n\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", " ", "　", "字", "\0", "🙂", "<|endoftext|>"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(30))) for _ in range(3000)]
+    texts += ["".join(rnd.choice(bits[:7] + bits[9:18] + bits[19:26]) for _ in range(rnd.randrange(30))) for _ in range(3000)]
+    memo: dict = {}
+    for a in range(0, len(texts), 500):  # with what is remembered, too
+        got = sst.encode(texts[a : a + 500], BYTE_BPE, memo)
+        assert got == [np.array(e.ids, dtype="<u2").tobytes() for e in t.encode_batch_fast(texts[a : a + 500], add_special_tokens=False)]
